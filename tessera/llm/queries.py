@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, fingerprint, mixing
+from tessera.llm import bpe, chat, fingerprint, mixing, quality, toxicity
 from tessera.llm.common import table
 
 
@@ -24,10 +24,18 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op2_chat(table(spark, sf_dir, "conversations"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op3_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op6_bpe(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op7_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8_mixing(table(spark, sf_dir, "documents"))
 
