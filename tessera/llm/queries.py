@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, fingerprint, mixing, quality, toxicity
+from tessera.llm import bpe, chat, fingerprint, minhash, mixing, quality, toxicity
 from tessera.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op3_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.op4_minhash(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op6_bpe(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.OP2_SQL}
+    return {"op2_chat": chat.OP2_SQL, "op4_minhash": minhash.OP4_SQL}
