@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, fingerprint, minhash, mixing, quality, toxicity
+from tessera.llm import ann, bpe, chat, fingerprint, minhash, mixing, quality, toxicity
 from tessera.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op4_minhash(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op5_nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op6_bpe(table(spark, sf_dir, "documents"), tokenizer_path())
 
