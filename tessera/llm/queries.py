@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, bpe, chat, fingerprint, lines, minhash, mixing, quality, toxicity
+from tessera.llm import ann, bpe, chat, fingerprint, lines, minhash, mixing, quality, repeats, toxicity
 from tessera.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8_mixing(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.op9_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op10_lines(table(spark, sf_dir, "documents"))
 
