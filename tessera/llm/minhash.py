@@ -112,6 +112,13 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) ->
     return out.select("doc_id", "n_shingles", "digest", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def kept_documents(docs: DataFrame, width: int) -> DataFrame:
+    """Rows of docs but for those with a smaller doc_id in their component. Rows without words or with a null doc_id stay."""
+    found = near_duplicates(docs.select("doc_id", "text"), width).filter("digest is not null").select("doc_id", "component_id")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
 def op4_minhash(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     found = near_duplicates(docs, width=2)
