@@ -16,7 +16,7 @@ SLOTS = 1024
 def running_sums(df: DataFrame, groups: Sequence[str], by: str, sums: dict[str, str], descending: bool = False, ties: Sequence[str | Column] = ()) -> DataFrame:
     """Adds for each (out: column) of sums the sum over rows up to and with each row, in the order of by and ties. Nulls of by come last."""
     sign = -1 if descending else 1
-    filed = df.withColumn("_slot", F.coalesce(F.floor(F.least(F.greatest(F.col(by) * (SLOTS * sign), F.lit(-9e15)), F.lit(9e15))), F.lit(2**62)))
+    filed = df.withColumn("_slot", F.when(F.col(by).isNull(), 2**62).otherwise(F.floor(F.least(F.greatest(F.col(by) * (SLOTS * sign), F.lit(-9e15)), F.lit(9e15)))))
     totals = filed.groupBy(*groups, "_slot").agg(*(F.sum(c).alias(f"_{o}") for o, c in sums.items()))
     earlier = Window.partitionBy(*groups).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*groups, "_slot", *(F.coalesce(F.sum(f"_{o}").over(earlier), F.lit(0)).alias(f"_{o}") for o in sums))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.bits import pack, unpack
@@ -51,8 +52,6 @@ def add_fingerprints(df: DataFrame, structure: str, factory: Callable[[], Provid
         need("rdkit", "computing fingerprints")
     sizes = dict(FINGERPRINTS)
 
-    import pandas as pd
-
     @F.pandas_udf("valid boolean, avalon array<int>, morgan array<int>, maccs array<int>")
     def compute(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         provider = factory()
@@ -75,8 +74,6 @@ def wide(df: DataFrame, names: Sequence[str] = tuple(FINGERPRINTS)) -> DataFrame
 
 def graphs(df: DataFrame, structure: str, factory: Callable[[], Callable[[str], tuple[list[int], list[tuple[int, int]]] | None]]) -> DataFrame:
     """Adds graph: atomic numbers (0 to MOST_ATOMIC_NUMBER - 1) and edges in both directions; one atom 0 where unreadable."""
-    import pandas as pd
-
     @F.pandas_udf("atoms array<int>, heads array<int>, tails array<int>")
     def compute(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         parse = factory()
@@ -91,8 +88,6 @@ def graphs(df: DataFrame, structure: str, factory: Callable[[], Callable[[str],
 
 def embeddings(df: DataFrame, structure: str, factory: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 64) -> DataFrame:
     """Adds embedding by an encoder that is loaded once for each task; computed once, folds share it."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def compute(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = factory()

@@ -12,9 +12,9 @@ from tessera.functions.columns import require_rows
 
 def source_entropy(df: DataFrame, cluster: str, source: str) -> DataFrame:
     """cluster, n, entropy (bits) of the sources' shares. Counts first, so that only a row for each pair is shuffled."""
-    counts = df.groupBy(cluster, source).agg(F.count(F.lit(1)).alias("c"))
+    counts = df.groupBy(cluster, source).agg(F.count(F.lit(1)).alias("_c"))
     # sum of -p log2 p with p = c / n is log2 n - sum(c log2 c) / n
-    sums = counts.groupBy(cluster).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("_s"))
+    sums = counts.groupBy(cluster).agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.log2("_c")).alias("_s"))
     return sums.select(cluster, "n", F.greatest(F.log2("n") - F.col("_s") / F.col("n"), F.lit(0.0)).alias("entropy"))
 
 

@@ -12,6 +12,8 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml import classification as C
 from pyspark.ml.clustering import KMeans
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.columns import sigmoid
 from tessera.operators.similarity import nearest_share
+from tessera.operators.split import stratified_folds
 
 log = logging.getLogger(__name__)
 SEED = 42
@@ -150,6 +153,7 @@ def soft_vote(parts: Sequence[DataFrame], row_id: str) -> DataFrame:
 
 def stack(members: dict[str, Entry], train: DataFrame, test: DataFrame, row_id: str, label: str = "label") -> DataFrame:
     """row_id, score of test: a logistic regression over the members' out-of-fold scores and the features themselves."""
+    train = train if "fold" in train.columns else stratified_folds(train, label, row_id)
     met, asked = train, test
     for name, entry in members.items():
         met = met.join(out_of_fold(entry, train, row_id, label).select(row_id, F.col("score").alias(f"_{name}")), row_id)
@@ -227,8 +231,6 @@ class RandomFourierSVC(Estimator):
         return self
 
     def _fit(self, df: DataFrame):
-        import numpy as np
-
         first = df.select("features").first()[0]
         d = first.size
         var = df.select(F.explode(vector_to_array("features")).alias("x")).agg(F.var_pop("x")).first()[0] or 1.0
@@ -250,9 +252,6 @@ class Cosines(Transformer):
         self.directions, self.shifts = directions, shifts
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        import numpy as np
-        import pandas as pd
-
         w, b = self.directions.toArray(), self.shifts.toArray()
 
         @F.pandas_udf("array<double>")
