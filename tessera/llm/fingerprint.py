@@ -99,7 +99,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Bounds and firsts are a few numbers for each range; how many there are is a setting, not a matter of the data.
     bounds = docs.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.5 / ranges)
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
     place = Bucketizer(splits=splits, inputCol="at", outputCol="bucket")
     filed = place.transform(docs.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))))
     filed = filed.select(F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("bucket").cast("int")).alias("bucket"), "doc_id", "text")

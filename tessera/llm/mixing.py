@@ -4,7 +4,8 @@
 2. The documents of a source are packed end to end into blocks of ``block_words`` words. Offsets are prefix sums in two
    levels (hashed buckets, then inside a bucket), so that a source with a third of all rows is not one task.
 3. Each source gets its target's number of slots. One pseudorandom permutation deals all slots into output shards, so the
-   source counts of the shards are a multinomial draw, conditioned on the totals: those hit the targets to within a block.
+   source counts of the shards are a multinomial draw, conditioned on the totals: those hit the targets to within two blocks (the last
+   block of a source is short).
 4. A slot is mapped to a block by the source's own pseudorandom permutation; a further round over the blocks begins
    when each has been taken. Slots and blocks meet in a join by (source, block).
 
