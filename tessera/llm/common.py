@@ -60,6 +60,11 @@ def with_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def bound(value, fn):
+    """fn of a lambda variable that holds value: an expression used inside a lambda is computed once, not for each element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def split_fold(doc_id, k: int):
     """crc32 of doc_id as text, modulo k."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k

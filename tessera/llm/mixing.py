@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.llm.common import SPACE_CLASS, WORD
+from tessera.llm.common import SPACE_CLASS, WORD, bound
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -132,6 +132,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     epochs = joined.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.array_max(F.col("spans.times")).cast("int"))))
     tokens = F.regexp_extract_all("text", F.lit(rf"{WORD}[{SPACE_CLASS}]*"), F.lit(0))
     chosen = F.filter("spans", lambda s: s["times"] >= F.col("epoch"))
-    text = F.array_join(F.flatten(F.transform(chosen, lambda s: F.slice(F.col("words"), (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), "")
-    out = epochs.withColumn("words", tokens).filter(F.size(chosen) > 0).withColumn("text", text)
+    text = bound(tokens, lambda words: F.array_join(F.flatten(F.transform(chosen, lambda s: F.slice(words, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), ""))
+    out = epochs.filter(F.size(chosen) > 0).withColumn("text", text)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
