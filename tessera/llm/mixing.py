@@ -106,7 +106,8 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 def taken_pieces(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """pieces() of the blocks that the mix takes, with times."""
     times = slots(targets).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
-    return pieces(rows).join(times, ["number", "block"])
+    # Slots are made from a few rows, by whose size Spark would take them for small enough to broadcast: they grow with the corpus.
+    return pieces(rows).join(times.hint("merge"), ["number", "block"])
 
 
 def op8_mixing(docs: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def op8_mixing(docs: DataFrame) -> DataFrame:
     targets = source_targets(sized)
     rows = packed(sized, targets)
     taken = taken_pieces(rows, targets).groupBy("number", "bucket", "row").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
-    out = rows.join(taken, ["number", "bucket", "row"], "left")
+    out = rows.join(taken.hint("merge"), ["number", "bucket", "row"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
@@ -128,7 +129,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     spans = taken.groupBy("doc_id", "text_key", "number", "bucket", "row").agg(F.array_sort(F.collect_list(F.struct("first", "last", "times"))).alias("spans"))
     spans = spans.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("number", "row"))).drop("number", "bucket", "row")
     copies = docs.withColumn("text_key", F.xxhash64("text")).withColumn("copy", F.row_number().over(order))
-    joined = copies.join(spans, [copies["doc_id"].eqNullSafe(spans["doc_id"]), copies["text_key"] == spans["text_key"], copies["copy"] == spans["copy"]]).drop(spans["doc_id"]).drop("text_key", "copy")
+    joined = copies.join(spans.hint("merge"), [copies["doc_id"].eqNullSafe(spans["doc_id"]), copies["text_key"] == spans["text_key"], copies["copy"] == spans["copy"]]).drop(spans["doc_id"]).drop("text_key", "copy")
     epochs = joined.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.array_max(F.col("spans.times")).cast("int"))))
     tokens = F.regexp_extract_all("text", F.lit(rf"{WORD}[{SPACE_CLASS}]*"), F.lit(0))
     chosen = F.filter("spans", lambda s: s["times"] >= F.col("epoch"))
