@@ -58,19 +58,22 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Linear:
     """Which feature a bucket is (-1: none), the features' weights, and the intercept."""
 
-    def __init__(self, doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, totals: dict[int, int]):
+    def __init__(self, buckets: list[np.ndarray], labels: np.ndarray, totals: dict[int, int]):
         self.place, self.weights, self.intercept = np.full(BUCKETS, -1, np.int32), np.zeros(FEATURES), 0.0
         ones, n = int(labels.sum()), len(labels)
         if not 0 < ones < n:
             return
-        toxic, clean = (np.bincount(bucket[labels[doc] == v], minlength=BUCKETS) for v in (1, 0))
+        toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for own, label in zip(buckets, labels, strict=True):  # row by row: the driver holds the n-grams once
+            (toxic if label else clean)[own] += 1
         share = ones / n
         ratio = np.log((toxic + SMOOTHING * share) / (ones + SMOOTHING)) - np.log((clean + SMOOTHING * (1 - share)) / (n - ones + SMOOTHING))
         chosen = np.argsort(-np.maximum(ratio, 0) * np.sqrt(toxic + clean), kind="stable")[:FEATURES]
         self.place[chosen] = np.arange(FEATURES)
         x = np.zeros((n, FEATURES + 1), np.float32)
-        at = self.place[bucket]
-        x[doc[at >= 0], at[at >= 0]] = 1
+        for i, own in enumerate(buckets):
+            at = self.place[own]
+            x[i, at[at >= 0]] = 1
         x[:, :FEATURES] *= ratio[chosen]
         x[:, FEATURES] = 1
         weight = np.where(labels == 1, TOXIC_WEIGHT * totals[1] / ones, totals[0] / (n - ones))
@@ -112,8 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
 
     found = sorted(map_arrow(rows, ["doc_id", F.col("label").cast("int").alias("label"), "text"], "doc_id bigint, label int, grams binary", run).collect())
     buckets = [np.frombuffer(r["grams"], np.int32) for r in found]
-    doc = np.repeat(np.arange(len(found)), [len(b) for b in buckets])
-    return Linear(doc, np.concatenate([*buckets, np.zeros(0, np.int32)]), np.array([r["label"] for r in found], np.int64), label_counts(labels, "toxic", train))
+    return Linear(buckets, np.array([r["label"] for r in found], np.int64), label_counts(labels, "toxic", train))
 
 
 def score(docs: DataFrame, model: Linear) -> DataFrame:
