@@ -41,23 +41,36 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def link(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """id, root for postings (key, id), all distinct. confirm keeps the pairs (a < b) that are linked."""
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("lead")).filter("held > 1").drop("held")
-    shared = scratch.keep(postings.join(lists, "key"))
-    led = shared.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    first = scratch.keep(confirm(led))
+def link(postings: DataFrame, alike: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, prepare: Callable[[DataFrame], None] | None = None, narrow: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """id, root for postings (key, id, weight), all distinct; a list's leader is the row of most weight.
+
+    alike keeps the pairs (a < b) that may be linked, cheaply; confirm those that are. prepare is told all ids of pairs before
+    the first confirm. Rows unlike their list's leader are paired with all of the list, the others with the leader alone;
+    if they turn out not to be in the leader's component, narrow gives the pairs to try, out of strays (s, s_root) and
+    members (m, m_root) that are like the leader; none that confirm would keep may be missing. By default all are tried.
+    """
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(-F.col("weight"), "id")).alias("best")).filter("held > 1")
+    shared = scratch.keep(postings.select("key", "id").join(lists.select("key", F.col("best.id").alias("lead")), "key"))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    led = scratch.keep(alike(shared.filter("id <> lead").select(*pair("lead", "id")).distinct()).select("a", "b"))
+    with_pair = shared.filter("id <> lead").withColumns(dict(zip("ab", pair("lead", "id"), strict=True)))
+    unlike = with_pair.join(led, ["a", "b"], "left_anti").select("key", F.col("id").alias("s"))
+    beside = shared.filter("id <> lead").select("key", "id")
+    others = scratch.keep(alike(unlike.join(beside, "key").filter("s <> id").select(*pair("s", "id")).distinct()).select("a", "b"))
+    tried = led.unionAll(others)
+    if prepare:
+        prepare(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    first = scratch.keep(confirm(tried).select("a", "b"))
     roots = components(first, scratch)
-    # What is in another component than its list's leader is tried against all of that list in other components.
     of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
-    placed = shared.join(of("id"), "id", "left").join(of("lead"), "lead", "left")
-    placed = placed.withColumns({"id_root": F.coalesce("id_root", "id"), "lead_root": F.coalesce("lead_root", "lead")})
-    strays = scratch.keep(placed.filter("id_root <> lead_root").select("key", F.col("id").alias("s"), F.col("id_root").alias("s_root"), F.col("lead")))
+    like = with_pair.join(led, ["a", "b"]).select("key", "id", "lead").join(of("id"), "id", "left").join(of("lead"), "lead", "left")
+    like = like.withColumns({"id_root": F.coalesce("id_root", "id"), "lead_root": F.coalesce("lead_root", "lead")})
+    strays = scratch.keep(like.filter("id_root <> lead_root").select("key", F.col("id").alias("s"), F.col("id_root").alias("s_root")))
     if strays.isEmpty():
         return roots
-    open_keys = strays.select("key").distinct()
-    members = placed.join(open_keys, "key", "left_semi").select("key", F.col("id").alias("m"), F.col("id_root").alias("m_root"))
-    rest = strays.join(members, "key").filter("s_root <> m_root and m <> lead").select(F.least("s", "m").alias("a"), F.greatest("s", "m").alias("b")).distinct()
-    second = confirm(rest)
-    tied = first.select("a", "b").unionAll(second.select("a", "b"))
-    return components(tied, scratch)
+    members = like.join(strays.select("key").distinct(), "key", "left_semi").select("key", F.col("id").alias("m"), F.col("id_root").alias("m_root"))
+    if narrow:
+        rest = narrow(scratch.keep(strays.drop("key").distinct()), scratch.keep(members.drop("key").distinct()))
+    else:
+        rest = strays.join(members, "key").filter("s_root <> m_root").select(*pair("s", "m")).distinct()
+    return components(confirm(alike(rest)).select("a", "b").unionAll(first), scratch)

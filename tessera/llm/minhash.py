@@ -9,6 +9,8 @@
    lists are skipped: a list's length over the whole corpus is its place in the order. A class with too many values
    that no other class has is left out at once, since it can't reach the threshold.
 4. Retained pairs are confirmed on full sets, and linked as in ``link``: a group of n near copies makes about n pairs.
+   Classes whose signatures are like their list's leader's but which aren't in its component are tried against those
+   members that have one of their rarest shingles, since a set can't be similar to one that lacks a fifth of it.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. With fewer words than ``width`` the whole sequence is
 the one shingle; a text without words, or null, has an empty set and is linked with nothing. Repeated rows are in one
@@ -89,24 +91,42 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) ->
     tokens = known.select("id", F.posexplode("signature").alias("pos", "value")).select("id", token.alias("key"))
     often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     ranked = tokens.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("keys")).filter(F.size("keys") >= MATCHES)
-    prefix = ranked.select("id", F.explode(F.slice("keys.key", F.lit(1), F.size("keys") - MATCHES + 1)).alias("key"))
+    # The more of its values others have, the more central a class is among its copies: lists are led by such a one.
+    prefix = ranked.select("id", F.size("keys").alias("weight"), F.explode(F.slice("keys.key", F.lit(1), F.size("keys") - MATCHES + 1)).alias("key"))
     postings = scratch.keep(prefix)
 
-    able = postings.select(F.col("id").alias("doc_id")).distinct()
-    sets = scratch.keep(full_sets(docs.join(able, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+    wanted: list[DataFrame] = []
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def prepare(ids: DataFrame) -> None:
+        wanted.append(scratch.keep(full_sets(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"])))
+
+    def alike(pairs: DataFrame) -> DataFrame:
         side = lambda n: known.select(F.col("id").alias(n), F.col("n_shingles").alias(f"{n}_size"), F.col("signature").alias(f"{n}_signature"))
-        both = pairs.join(side("a"), "a").filter("a_size > 0").join(side("b"), "b")
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
         both = both.filter(F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
         agree = F.aggregate(F.zip_with("a_signature", "b_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        retained = both.filter(agree >= MATCHES).select("a", "b", "a_size", "b_size")
-        whole = lambda n: sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"{n}_set"))
-        met = retained.join(whole("a"), "a").join(whole("b"), "b")
-        common = F.size(F.array_intersect("a_set", "b_set"))
-        return met.filter(common * 100 >= (F.col("a_size") + F.col("b_size") - common) * percent).select("a", "b")
+        return both.filter(agree >= MATCHES).select("a", "b")
 
-    roots = link(postings, confirm, scratch)
+    def confirm(pairs: DataFrame) -> DataFrame:
+        whole = lambda n: wanted[0].select(F.col("doc_id").alias(n), F.col("shingles").alias(f"{n}_set"))
+        met = pairs.join(whole("a"), "a").join(whole("b"), "b")
+        common = F.size(F.array_intersect("a_set", "b_set"))
+        return met.filter(common * 100 >= (F.size("a_set") + F.size("b_set") - common) * percent).select("a", "b")
+
+    def narrow(strays: DataFrame, members: DataFrame) -> DataFrame:
+        """Pairs of a stray and a member that has one of the rarest shingles of the stray, as many as it can't do without."""
+        theirs = strays.join(wanted[0], F.col("s") == F.col("doc_id")).select("s", "s_root", F.explode("shingles").alias("x"))
+        theirs = scratch.keep(theirs)
+        held = members.join(wanted[0], F.col("m") == F.col("doc_id")).select("m", "m_root", F.explode("shingles").alias("x"))
+        held = scratch.keep(held.join(theirs.select("x").distinct(), "x", "left_semi"))
+        often = held.groupBy("x").agg(F.count(F.lit(1)).alias("often"))
+        ranked = theirs.join(often, "x").groupBy("s", "s_root").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("xs"))
+        size = F.size("xs")
+        rare = F.slice("xs", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)
+        rare = ranked.select("s", "s_root", F.explode(F.filter(rare, lambda r: r["often"] > 1)).alias("r")).select("s", "s_root", "r.x")
+        return rare.join(held, "x").filter("s_root <> m_root").select(F.least("s", "m").alias("a"), F.greatest("s", "m").alias("b")).distinct()
+
+    roots = link(postings, alike, confirm, scratch, prepare, narrow)
     named = classes.join(roots, "id", "left").select(F.col("digest"), F.coalesce("root", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     return out.select("doc_id", "n_shingles", "digest", F.coalesce("component_id", "doc_id").alias("component_id"))
