@@ -18,6 +18,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", f"file:///tmp/tessera-shared-{os.getpid()}")
         .config("spark.sql.warehouse.dir", f"/tmp/tessera-tests-{os.getpid()}")
         .getOrCreate()
     )
