@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,11 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Only where it is unset (tests) a folder of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, which the cluster (in tests, the fixture) sets."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -42,6 +40,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def deal(self, df: DataFrame, *keys: str) -> DataFrame:
+        """Write df in buckets of keys and read it back: joins and groups on them shuffle nothing of it. It leaves the catalogue again."""
+        self.count += 1
+        parts, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"dealt_{uuid.uuid4().hex}"
+        writer = df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("compression", "zstd")
+        writer.option("path", f"{self.base}/{self.count}").saveAsTable(name)
+        dealt = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+        return dealt
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of keep() that nothing reads any more."""
         for df in frames:

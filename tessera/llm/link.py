@@ -1,9 +1,10 @@
-"""Linking by shared keys, without all pairs of a group; and connected components. DataFrame functions only.
+"""Candidate pairs by shared keys without all pairs of a group, and connected components. DataFrame functions only.
 
-Documents (ids) are posted under keys; two that share a key may be linked, and a function says which pairs are. A group
-of n copies would make n * n pairs, so the posting lists are first linked to their leaders (n pairs a list), and only
-then are those pairs tried that share a key and are still in different components. No pair that shares a key is lost:
-one left untried is in one component already.
+Rows (ids) are posted under keys; two that share a key may be linked. A group of n copies would make n * n pairs, so each
+posting list elects a leader and n pairs are judged. Rows near their leader leave the list, the others elect a leader
+again: each round costs as much as the lists are long. A list that still holds rows after ``ROUNDS`` rounds is split: its
+rows are posted under every two of the keys that they are left with, so that a list is of rows that share two keys (later
+four, and so on), until nothing is left.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import Scratch
 
+#: Elections in a list before its keys are extended.
+ROUNDS = 2
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One step of connected components by alternating stars: neighbours are tied to the least one known."""
@@ -41,36 +45,28 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def link(postings: DataFrame, alike: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, prepare: Callable[[DataFrame], None] | None = None, narrow: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """id, root for postings (key, id, weight), all distinct; a list's leader is the row of most weight.
+def elections(postings: DataFrame, judge: Callable[[DataFrame], DataFrame], scratch: Scratch) -> list[DataFrame]:
+    """What judge gave in each round, for postings (key, id, weight), all distinct; a list's leader is the row of most weight.
 
-    alike keeps the pairs (a < b) that may be linked, cheaply; confirm those that are. prepare is told all ids of pairs before
-    the first confirm. Rows unlike their list's leader are paired with all of the list, the others with the leader alone;
-    if they turn out not to be in the leader's component, narrow gives the pairs to try, out of strays (s, s_root) and
-    members (m, m_root) that are like the leader; none that confirm would keep may be missing. By default all are tried.
+    judge adds columns to pairs (lead, id), near among them: whether the row leaves the lists that this leader has. It may
+    leave out pairs, whose rows stay in their lists.
     """
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(-F.col("weight"), "id")).alias("best")).filter("held > 1")
-    shared = scratch.keep(postings.select("key", "id").join(lists.select("key", F.col("best.id").alias("lead")), "key"))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    led = scratch.keep(alike(shared.filter("id <> lead").select(*pair("lead", "id")).distinct()).select("a", "b"))
-    with_pair = shared.filter("id <> lead").withColumns(dict(zip("ab", pair("lead", "id"), strict=True)))
-    unlike = with_pair.join(led, ["a", "b"], "left_anti").select("key", F.col("id").alias("s"))
-    beside = shared.filter("id <> lead").select("key", "id")
-    others = scratch.keep(alike(unlike.join(beside, "key").filter("s <> id").select(*pair("s", "id")).distinct()).select("a", "b"))
-    tried = led.unionAll(others)
-    if prepare:
-        prepare(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    first = scratch.keep(confirm(tried).select("a", "b"))
-    roots = components(first, scratch)
-    of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
-    like = with_pair.join(led, ["a", "b"]).select("key", "id", "lead").join(of("id"), "id", "left").join(of("lead"), "lead", "left")
-    like = like.withColumns({"id_root": F.coalesce("id_root", "id"), "lead_root": F.coalesce("lead_root", "lead")})
-    strays = scratch.keep(like.filter("id_root <> lead_root").select("key", F.col("id").alias("s"), F.col("id_root").alias("s_root")))
-    if strays.isEmpty():
-        return roots
-    members = like.join(strays.select("key").distinct(), "key", "left_semi").select("key", F.col("id").alias("m"), F.col("id_root").alias("m_root"))
-    if narrow:
-        rest = narrow(scratch.keep(strays.drop("key").distinct()), scratch.keep(members.drop("key").distinct()))
-    else:
-        rest = strays.join(members, "key").filter("s_root <> m_root").select(*pair("s", "m")).distinct()
-    return components(confirm(alike(rest)).select("a", "b").unionAll(first), scratch)
+    given: list[DataFrame] = []
+    left, rounds = scratch.keep(postings.select("key", "id", "weight")), 0
+    while True:
+        lists = left.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(-F.col("weight"), "id")).alias("best")).filter("held > 1")
+        shared = left.join(lists.select("key", F.col("best.id").alias("lead")), "key").filter("id <> lead")
+        shared = scratch.keep(shared.select("key", "id", "weight", "lead"))
+        if shared.isEmpty():
+            return given
+        scratch.drop(left)
+        judged = scratch.keep(judge(shared.select("lead", "id").distinct()))
+        given.append(judged)
+        stay = shared.join(judged.filter("near").select("lead", "id"), ["lead", "id"], "left_anti").select("key", "id", "weight")
+        rounds += 1
+        if rounds % ROUNDS == 0:
+            own = stay.groupBy("id", "weight").agg(F.array_sort(F.collect_set("key")).alias("keys")).filter("size(keys) > 1")
+            both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.greatest(F.size("keys") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
+            stay = own.select("id", "weight", F.explode(both).alias("key")).select("key", "id", "weight")
+        left = scratch.keep(stay)
+        scratch.drop(shared)

@@ -1,21 +1,26 @@
 """Operator 4 - MinHash near-duplicates by a signature-coordinate inverted join.
 
 1. A text's set of word shingles gives a signature of ``COORDINATES`` minima. Documents with equal sets are one class.
-2. Each class is posted under every pair of a coordinate and its value. Similar classes agree on many coordinates: a pair
-   is retained if it agrees on ``MATCHES`` or more (of a pair just at the threshold of 0.8, one in 3 million agrees on
-   fewer).
-3. Counting all collisions would read the long lists of frequent values. Pairs with enough collisions share one of the
-   ``COORDINATES - MATCHES + 1`` rarest values of either (prefix), so that only these are posted for the join, and long
-   lists are skipped: a list's length over the whole corpus is its place in the order. A class with too many values
-   that no other class has is left out at once, since it can't reach the threshold.
-4. Retained pairs are confirmed on full sets, and linked as in ``link``: a group of n near copies makes about n pairs.
-   Classes whose signatures are like their list's leader's but which aren't in its component are tried against those
-   members that have one of their rarest shingles, since a set can't be similar to one that lacks a fifth of it.
+2. Classes are posted under coordinates and their values, ``ROWS`` coordinates to a key: word pairs are so common that a
+   list of a single coordinate grows with the corpus and holds mostly texts that are unlike (on five times the rows, 34
+   times as many). A pair at the threshold of 0.8 shares no key once in 20 million times. Keys that one class has alone
+   are skipped.
+3. Lists elect leaders (``link.elections``): collisions of all coordinates are counted for pairs of a leader and a row
+   of its lists. Rows with ``NEAR`` or more leave the lists; pairs with ``MET`` or more are retained.
+4. Retained pairs meet as texts, at the leader, in parts if it has many. Their full sets decide whether they are linked,
+   and give the difference of the row's set from the leader's (what either has alone).
+5. Two rows of one leader, at least one not linked with it: they can be similar only if their differences have an element
+   in common, since similarity to each other would otherwise be less than that to the leader. They are joined by prefixes
+   of their differences, whose lengths follow from how much must be common, unless they are in one component already, and
+   confirmed exactly: the size of the symmetric difference of their sets is that of their differences'.
+
+Step 5 finds each pair that shares a key: if one of two similar texts leaves a list with ``NEAR``, so about 0.62 or more,
+the other has about 0.42 or more and is retained. A group of n near copies makes about n pairs.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. With fewer words than ``width`` the whole sequence is
 the one shingle; a text without words, or null, has an empty set and is linked with nothing. Repeated rows are in one
 class. A null doc_id is no representative and its row is linked by equal sets alone. Of an empty table the result is
-empty. Other columns are left out.
+empty. Other columns are left out. Texts are hashed in slices of 1 MB, and one longer than that by itself.
 """
 
 from __future__ import annotations
@@ -29,11 +34,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.blocks import U, mix, shingle_sets, slices
 from tessera.llm.common import Scratch, map_arrow, with_texts
-from tessera.llm.link import link
+from tessera.llm.link import components, elections
 
-COORDINATES = 64
-MATCHES = 34
+COORDINATES = 128
+ROWS = 4
+#: Of COORDINATES: half a share of 0.42 (what is expected of 0.42 is 54, less than 27 once in 10 million times), and 3.5 deviations above 0.62.
+MET, NEAR = 27, 98
 PERCENT = 80
+#: Rows of a leader that meet it in one part.
+PART_ROWS = 256
 KEYS = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
 
@@ -46,8 +55,28 @@ def minima(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """A key for each ROWS coordinates of signatures."""
+    out = np.empty((len(signature), COORDINATES // ROWS), U)
+    for i in range(out.shape[1]):
+        h = np.full(len(signature), i + 1, U)
+        for column in signature[:, i * ROWS : (i + 1) * ROWS].T:
+            h = mix(h * U(0xFF51AFD7ED558CCD) + column.astype(U))
+        out[:, i] = h
+    return out
+
+
+def digest_of(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def lists_of(rows: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as lists; none of the rows is null."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if empty), signature."""
+    """doc_id, n_shingles, digest (of the set), signature, keys; the last three null if the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,81 +84,128 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 values, offsets = shingle_sets(part.column("text"), width)
                 sizes = np.diff(offsets)
                 there = np.flatnonzero(sizes)
-                rows: list = [None] * len(sizes)
-                digests: list = [None] * len(sizes)
-                if len(there):
-                    for i, row in zip(there, minima(values, offsets[there]).view(np.int32), strict=True):
-                        rows[i] = row
-                        digests[i] = hashlib.blake2b(values[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "digest", "signature"]
-                )
+                found = minima(values, offsets[there]) if len(there) else np.zeros((0, COORDINATES), np.uint32)
+                place = np.full(len(sizes), -1)
+                place[there] = np.arange(len(there))
+                at = pa.array(place, mask=place < 0)
+                digests = pa.array([digest_of(values[offsets[i] : offsets[i + 1]]) for i in there], pa.binary())
+                columns = (digests, lists_of(found.view(np.int32)), lists_of(band_keys(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), *(c.take(at) for c in columns)], names=["doc_id", "n_shingles", "digest", "signature", "keys"])
 
-    return map_arrow(with_texts(docs), ["doc_id", "text"], "doc_id bigint, n_shingles bigint, digest binary, signature array<int>", run)
+    return map_arrow(with_texts(docs), ["doc_id", "text"], "doc_id bigint, n_shingles bigint, digest binary, signature array<int>, keys array<bigint>", run)
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, shingles array<bigint>, distinct."""
+def _compare(width: int, percent: int):
+    """For texts in the order of (lead, part, role), the leader's own (role 0) before its rows': whether a row is linked, sizes, the difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, own = None, np.zeros(0, U)
         for batch in batches:
             for part in slices(batch, "text"):
                 values, offsets = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))], names=["doc_id", "shingles"])
-
-    return map_arrow(with_texts(docs), ["doc_id", "text"], "doc_id bigint, shingles array<bigint>", run)
+                out: list[tuple] = []
+                keys = (part.column(c).to_pylist() for c in ("lead", "part", "role", "id", "digest"))
+                for i, (lead, place, role, row, digest) in enumerate(zip(*keys, strict=True)):
+                    held = values[offsets[i] : offsets[i + 1]]
+                    if digest != digest_of(held):
+                        continue  # another text of this doc_id
+                    if role == 0:
+                        here, own = (lead, place), held.copy()
+                    elif here == (lead, place):
+                        common = np.intersect1d(own, held, assume_unique=True)
+                        extra, missing = np.setdiff1d(held, common, assume_unique=True), np.setdiff1d(own, common, assume_unique=True)
+                        union = len(own) + len(held) - len(common)
+                        # Elements of the row alone are odd, and come first; those of the leader alone are even.
+                        delta = np.concatenate([extra | U(1), missing & ~U(1)]).view(np.int64)
+                        out.append((lead, row, len(common) * 100 >= union * percent, len(own), len(held), delta))
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["lead", "id", "linked", "n_lead", "n", "delta"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest, component_id of every row of docs."""
-    scratch = Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = scratch.keep(signatures(docs, width))
-    classes = scratch.keep(signed.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n_shingles", "signature")).alias("row")).select("digest", F.col("row.doc_id").alias("id"), "row.n_shingles", "row.signature"))
-    known = classes.filter("id is not null").select("id", "n_shingles", "signature")
-
-    token = F.shiftleft(F.col("value").cast("bigint"), 6).bitwiseOR(F.col("pos").cast("bigint"))
-    tokens = known.select("id", F.posexplode("signature").alias("pos", "value")).select("id", token.alias("key"))
-    often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    ranked = tokens.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("keys")).filter(F.size("keys") >= MATCHES)
-    # The more of its values others have, the more central a class is among its copies: lists are led by such a one.
-    prefix = ranked.select("id", F.size("keys").alias("weight"), F.explode(F.slice("keys.key", F.lit(1), F.size("keys") - MATCHES + 1)).alias("key"))
-    postings = scratch.keep(prefix)
-
-    wanted: list[DataFrame] = []
-
-    def prepare(ids: DataFrame) -> None:
-        wanted.append(scratch.keep(full_sets(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"])))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        side = lambda n: known.select(F.col("id").alias(n), F.col("n_shingles").alias(f"{n}_size"), F.col("signature").alias(f"{n}_signature"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        both = both.filter(F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
-        agree = F.aggregate(F.zip_with("a_signature", "b_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        return both.filter(agree >= MATCHES).select("a", "b")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        whole = lambda n: wanted[0].select(F.col("doc_id").alias(n), F.col("shingles").alias(f"{n}_set"))
-        met = pairs.join(whole("a"), "a").join(whole("b"), "b")
-        common = F.size(F.array_intersect("a_set", "b_set"))
-        return met.filter(common * 100 >= (F.size("a_set") + F.size("b_set") - common) * percent).select("a", "b")
-
-    def narrow(strays: DataFrame, members: DataFrame) -> DataFrame:
-        """Pairs of a stray and a member that has one of the rarest shingles of the stray, as many as it can't do without."""
-        theirs = strays.join(wanted[0], F.col("s") == F.col("doc_id")).select("s", "s_root", F.explode("shingles").alias("x"))
-        theirs = scratch.keep(theirs)
-        held = members.join(wanted[0], F.col("m") == F.col("doc_id")).select("m", "m_root", F.explode("shingles").alias("x"))
-        held = scratch.keep(held.join(theirs.select("x").distinct(), "x", "left_semi"))
-        often = held.groupBy("x").agg(F.count(F.lit(1)).alias("often"))
-        ranked = theirs.join(often, "x").groupBy("s", "s_root").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("xs"))
-        size = F.size("xs")
-        rare = F.slice("xs", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)
-        rare = ranked.select("s", "s_root", F.explode(F.filter(rare, lambda r: r["often"] > 1)).alias("r")).select("s", "s_root", "r.x")
-        return rare.join(held, "x").filter("s_root <> m_root").select(F.least("s", "m").alias("a"), F.greatest("s", "m").alias("b")).distinct()
-
-    roots = link(postings, alike, confirm, scratch, prepare, narrow)
-    named = classes.join(roots, "id", "left").select(F.col("digest"), F.coalesce("root", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    return out.select("doc_id", "n_shingles", "digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n_shingles", "signature", "keys"))
+    classes = signed.filter("digest is not null").groupBy("digest").agg(least.alias("row"))
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("id"), "digest", F.col("row.doc_id").alias("doc_id"), "row.n_shingles", "row.signature", "row.keys"))
+    known = classes.filter("doc_id is not null")
+
+    each = known.select("id", F.explode("keys").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").select("key")
+    met = scratch.keep(each.join(often, "key"))
+    # The more keys a class shares, the more central it is among its copies: lists are led by such a one.
+    postings = met.join(met.groupBy("id").agg(F.count(F.lit(1)).alias("weight")), "id")
+    size_fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        side = lambda n: known.select(F.col("id").alias(n), F.col("signature").alias(f"{n}_signature"))
+        agree = F.aggregate(F.zip_with("lead_signature", "id_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        counted = pairs.join(side("id"), "id").join(side("lead"), "lead").select("lead", "id", agree.alias("agree"))
+        return counted.filter(F.col("agree") >= MET).select("lead", "id", (F.col("agree") >= NEAR).alias("near"))
+
+    judged = elections(postings, judge, scratch)
+    if not judged:
+        return _named(signed, classes, None)
+    retained = judged[0].select("lead", "id")
+    for more in judged[1:]:
+        retained = retained.unionAll(more.select("lead", "id"))
+    retained = scratch.keep(retained.distinct())
+    held = retained.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    leads = held.select(F.col("lead").alias("id"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    rows = retained.join(held, "lead").select("id", "lead", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+    places = leads.unionAll(rows).join(known.select("id", "doc_id", "digest"), "id")
+    texts = with_texts(docs).join(places, "doc_id").select("lead", "part", "role", "id", "digest", "text")
+    compared = texts.repartition(parts, "lead", "part").sortWithinPartitions("lead", "part", "role").mapInArrow(_compare(width, percent), "lead bigint, id bigint, linked boolean, n_lead bigint, n bigint, delta array<bigint>")
+    compared = scratch.keep(compared)  # repeated rows of docs give a pair again
+    links = compared.filter("linked").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    roots = components(links, scratch)
+    more = _beside_leaders(compared, roots, percent, size_fits, scratch)
+    if not more.isEmpty():
+        roots = components(links.unionAll(more), scratch)
+    return _named(signed, classes, roots)
+
+
+def _beside_leaders(compared: DataFrame, roots: DataFrame, percent: int, size_fits, scratch: Scratch) -> DataFrame:
+    """a, b: similar rows of one leader in different components, by an element that their differences have in common."""
+    of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
+    rooted = compared.join(of("id"), "id", "left").join(of("lead"), "lead", "left")
+    rooted = rooted.withColumns({"id_root": F.coalesce("id_root", "id"), "lead_root": F.coalesce("lead_root", "lead"), "differ": F.size("delta")})
+    stray = ~F.col("linked") & (F.col("id_root") != F.col("lead_root"))
+    rooted = scratch.keep(rooted.withColumn("stray", stray).select("lead", "id", "id_root", "n_lead", "n", "differ", "delta", "stray"))
+    context = rooted.join(rooted.filter("stray").select("lead").distinct(), "lead", "left_semi")
+    low, high = 100 - percent, 100 + percent
+    # Similar: symmetric difference * high <= (n + n) * low. So at least these many elements of a difference are common to both:
+    as_row = F.greatest(F.lit(1), F.ceil((F.col("differ") * high + (F.col("n_lead") - F.col("n")) * low) / (2 * high)))
+    as_stray = F.greatest(F.lit(1), F.ceil(F.col("differ") - F.col("n") * low * (1 + 100 / percent) / high))
+    prefix = lambda least: F.slice("delta", F.lit(1), F.greatest(F.col("differ") - least + 1, F.lit(0)).cast("int"))
+    side = lambda df, name, least: df.select("lead", F.col("id").alias(name), F.col("id_root").alias(f"{name}_root"), F.col("n").alias(f"{name}_n"), F.col("differ").alias(f"{name}_differ"), F.explode(prefix(least)).alias("element"))
+    strays = scratch.keep(side(context.filter("stray"), "s", as_stray))
+    met = strays.join(side(context, "m", as_row), ["lead", "element"])
+    fits = (F.col("s_root") != F.col("m_root")) & size_fits("s_n", "m_n") & (F.abs(F.col("s_differ") - F.col("m_differ")) * high <= (F.col("s_n") + F.col("m_n")) * low)
+    tried = scratch.keep(met.filter(fits).select("lead", "s", "m").distinct())
+    whole = lambda name: rooted.select("lead", F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("delta").alias(f"{name}_delta")).dropDuplicates(["lead", name])
+    both = tried.join(whole("s"), ["lead", "s"]).join(whole("m"), ["lead", "m"])
+    apart = F.size("s_delta") + F.size("m_delta") - 2 * F.size(F.array_intersect("s_delta", "m_delta"))
+    return scratch.keep(both.filter(apart * high <= (F.col("s_n") + F.col("m_n")) * low).select(F.col("s").alias("a"), F.col("m").alias("b")).distinct())
+
+
+def _named(signed: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The smallest doc_id of each row's component; classes with a null doc_id have none."""
+    named = classes.select("id", "digest", "doc_id")
+    if roots is not None:
+        rooted = named.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
+    else:
+        named = named.withColumn("component_id", F.col("doc_id"))
+    # An empty set has no class: its rows keep their own digest (null), which no key of the join is.
+    out = signed.filter("digest is not null").select("doc_id", "n_shingles", "digest").join(named.select("digest", "component_id"), "digest")
+    out = out.select("doc_id", "n_shingles", "digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.unionAll(signed.filter("digest is null").select("doc_id", "n_shingles", "digest", F.col("doc_id").alias("component_id")))
 
 
 def kept_documents(docs: DataFrame, width: int) -> DataFrame:
