@@ -2,9 +2,9 @@
 
 Rows (ids) are posted under keys; two that share a key may be linked. A group of n copies would make n * n pairs, so each
 posting list elects a leader and n pairs are judged. Rows near their leader leave the list, the others elect a leader
-again: each round costs as much as the lists are long. A list that still holds rows after ``ROUNDS`` rounds is split: its
-rows are posted under every two of the keys that they are left with, so that a list is of rows that share two keys (later
-four, and so on), until nothing is left.
+again: each round costs as much as the lists are long. Lists that still hold rows after ``ROUNDS`` rounds are split: rows
+are posted under every two of the keys that they are left with, so that a list is of rows that share two keys (three after
+``ROUNDS`` more, and so on), until nothing is left.
 """
 
 from __future__ import annotations
@@ -52,21 +52,23 @@ def elections(postings: DataFrame, judge: Callable[[DataFrame], DataFrame], scra
     leave out pairs, whose rows stay in their lists.
     """
     given: list[DataFrame] = []
-    left, rounds = scratch.keep(postings.select("key", "id", "weight")), 0
+    # own: the keys of postings that this one stands for.
+    left, rounds = scratch.keep(postings.select("key", "id", "weight", F.array("key").alias("own"))), 0
     while True:
         lists = left.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(-F.col("weight"), "id")).alias("best")).filter("held > 1")
         shared = left.join(lists.select("key", F.col("best.id").alias("lead")), "key").filter("id <> lead")
-        shared = scratch.keep(shared.select("key", "id", "weight", "lead"))
+        shared = scratch.keep(shared.select("key", "id", "weight", "own", "lead"))
         if shared.isEmpty():
             return given
         scratch.drop(left)
         judged = scratch.keep(judge(shared.select("lead", "id").distinct()))
         given.append(judged)
-        stay = shared.join(judged.filter("near").select("lead", "id"), ["lead", "id"], "left_anti").select("key", "id", "weight")
+        stay = shared.join(judged.filter("near").select("lead", "id"), ["lead", "id"], "left_anti").select("key", "id", "weight", "own")
         rounds += 1
         if rounds % ROUNDS == 0:
-            own = stay.groupBy("id", "weight").agg(F.array_sort(F.collect_set("key")).alias("keys")).filter("size(keys) > 1")
-            both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.greatest(F.size("keys") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
-            stay = own.select("id", "weight", F.explode(both).alias("key")).select("key", "id", "weight")
+            of = stay.groupBy("id", "weight").agg(F.collect_list("own").alias("sets"))
+            of = of.select("id", "weight", "sets", F.array_distinct(F.flatten("sets")).alias("keys"))
+            more = F.transform("sets", lambda s: F.transform(F.filter("keys", lambda k: k > F.element_at(s, -1)), lambda k: F.concat(s, F.array(k))))
+            stay = of.select("id", "weight", F.explode(F.flatten(more)).alias("own")).select(F.xxhash64("own").alias("key"), "id", "weight", "own")
         left = scratch.keep(stay)
         scratch.drop(shared)

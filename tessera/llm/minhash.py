@@ -6,7 +6,8 @@
    times as many). A pair at the threshold of 0.8 shares no key once in 20 million times. Keys that one class has alone
    are skipped.
 3. Lists elect leaders (``link.elections``): collisions of all coordinates are counted for pairs of a leader and a row
-   of its lists. Rows with ``NEAR`` or more leave the lists; pairs with ``MET`` or more are retained.
+   of its lists. Rows with ``NEAR`` or more leave the lists; pairs with ``MET`` or more are retained. Both are low: texts
+   that have no more than a passage in common are few in a list, and step 5 does the rest.
 4. Retained pairs meet as texts, at the leader, in parts if it has many. Their full sets decide whether they are linked,
    and give the difference of the row's set from the leader's (what either has alone).
 5. Two rows of one leader, at least one not linked with it: they can be similar only if their differences have an element
@@ -14,8 +15,8 @@
    of their differences, whose lengths follow from how much must be common, unless they are in one component already, and
    confirmed exactly: the size of the symmetric difference of their sets is that of their differences'.
 
-Step 5 finds each pair that shares a key: if one of two similar texts leaves a list with ``NEAR``, so about 0.62 or more,
-the other has about 0.42 or more and is retained. A group of n near copies makes about n pairs.
+Step 5 finds each pair that shares a key and of which one leaves that list, since both are then rows of one leader. A
+group of n near copies makes about n pairs.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. With fewer words than ``width`` the whole sequence is
 the one shingle; a text without words, or null, has an empty set and is linked with nothing. Repeated rows are in one
@@ -38,8 +39,9 @@ from tessera.llm.link import components, elections
 
 COORDINATES = 128
 ROWS = 4
-#: Of COORDINATES: half a share of 0.42 (what is expected of 0.42 is 54, less than 27 once in 10 million times), and 3.5 deviations above 0.62.
-MET, NEAR = 27, 98
+#: Of COORDINATES. If one of two similar texts agrees with a leader on NEAR, the other does on 21 of these, and on fewer than
+#: MET once in a million times.
+MET, NEAR = 10, 26
 PERCENT = 80
 #: Rows of a leader that meet it in one part.
 PART_ROWS = 256
@@ -180,8 +182,8 @@ def _beside_leaders(compared: DataFrame, roots: DataFrame, percent: int, size_fi
     context = rooted.join(rooted.filter("stray").select("lead").distinct(), "lead", "left_semi")
     low, high = 100 - percent, 100 + percent
     # Similar: symmetric difference * high <= (n + n) * low. So at least these many elements of a difference are common to both:
-    as_row = F.greatest(F.lit(1), F.ceil((F.col("differ") * high + (F.col("n_lead") - F.col("n")) * low) / (2 * high)))
-    as_stray = F.greatest(F.lit(1), F.ceil(F.col("differ") - F.col("n") * low * (1 + 100 / percent) / high))
+    as_stray = F.greatest(F.lit(1), F.ceil(F.col("differ") - F.col("n") * low * (1 + 100 / percent) / high - 1e-9))
+    as_row = F.greatest(as_stray, F.ceil((F.col("differ") * high + (F.col("n_lead") - F.col("n")) * low) / (2 * high) - 1e-9))
     prefix = lambda least: F.slice("delta", F.lit(1), F.greatest(F.col("differ") - least + 1, F.lit(0)).cast("int"))
     side = lambda df, name, least: df.select("lead", F.col("id").alias(name), F.col("id_root").alias(f"{name}_root"), F.col("n").alias(f"{name}_n"), F.col("differ").alias(f"{name}_differ"), F.explode(prefix(least)).alias("element"))
     strays = scratch.keep(side(context.filter("stray"), "s", as_stray))
