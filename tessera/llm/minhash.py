@@ -10,10 +10,10 @@
    that have no more than a passage in common are few in a list, and step 5 does the rest.
 4. Retained pairs meet as texts, at the leader, in parts if it has many. Their full sets decide whether they are linked,
    and give the difference of the row's set from the leader's (what either has alone).
-5. Two rows of one leader, at least one not linked with it: they can be similar only if their differences have an element
-   in common, since similarity to each other would otherwise be less than that to the leader. They are joined by prefixes
-   of their differences, whose lengths follow from how much must be common, unless they are in one component already, and
-   confirmed exactly: the size of the symmetric difference of their sets is that of their differences'.
+5. Two rows of one leader, at least one not linked with it (a stray): they can be similar only if their differences have
+   an element in common, since similarity to each other would otherwise be less than that to the leader. They are joined
+   by prefixes of their differences, whose lengths follow from how much must be common, unless they are in one component
+   already, and confirmed exactly: the size of the symmetric difference of their sets is that of their differences'.
 
 Step 5 finds each pair that shares a key and of which one leaves that list, since both are then rows of one leader. A
 group of n near copies makes about n pairs.
@@ -117,7 +117,7 @@ def _compare(width: int, percent: int):
                         common = np.intersect1d(own, held, assume_unique=True)
                         extra, missing = np.setdiff1d(held, common, assume_unique=True), np.setdiff1d(own, common, assume_unique=True)
                         union = len(own) + len(held) - len(common)
-                        # Elements of the row alone are odd, and come first; those of the leader alone are even.
+                        # Elements of the row alone are odd, those of the leader alone are even.
                         delta = np.concatenate([extra | U(1), missing & ~U(1)]).view(np.int64)
                         out.append((lead, row, len(common) * 100 >= union * percent, len(own), len(held), delta))
                 kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) ->
 
     judged = elections(postings, judge, scratch)
     if not judged:
-        return _named(signed, classes, None)
+        return _named(signed, classes, None, scratch)
     retained = judged[0].select("lead", "id")
     for more in judged[1:]:
         retained = retained.unionAll(more.select("lead", "id"))
@@ -169,39 +169,58 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) ->
     more = _beside_leaders(compared, roots, percent, size_fits, scratch)
     if not more.isEmpty():
         roots = components(links.unionAll(more), scratch)
-    return _named(signed, classes, roots)
+    return _named(signed, classes, roots, scratch)
 
 
 def _beside_leaders(compared: DataFrame, roots: DataFrame, percent: int, size_fits, scratch: Scratch) -> DataFrame:
-    """a, b: similar rows of one leader in different components, by an element that their differences have in common."""
+    """a, b: similar rows of one leader in different components, by an element that their differences have in common.
+
+    Sets of s and m elements whose differences from their leader have x and y elements are similar if these have at least
+    (x + y - (s + m) * (100 - percent) / (100 + percent)) / 2 elements in common. Elements are ordered by how many rows of the
+    leader have them, rare ones first, so the first common one is at most that number from the end of either's. The least
+    values of this bound, over all rows that may be met, give the prefixes.
+    """
     of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
     rooted = compared.join(of("id"), "id", "left").join(of("lead"), "lead", "left")
     rooted = rooted.withColumns({"id_root": F.coalesce("id_root", "id"), "lead_root": F.coalesce("lead_root", "lead"), "differ": F.size("delta")})
     stray = ~F.col("linked") & (F.col("id_root") != F.col("lead_root"))
-    rooted = scratch.keep(rooted.withColumn("stray", stray).select("lead", "id", "id_root", "n_lead", "n", "differ", "delta", "stray"))
+    rooted = scratch.keep(rooted.withColumn("stray", stray).select("lead", "id", "id_root", "n_lead", "n", "differ", "delta", "stray").dropDuplicates(["lead", "id"]))
     context = rooted.join(rooted.filter("stray").select("lead").distinct(), "lead", "left_semi")
     low, high = 100 - percent, 100 + percent
-    # Similar: symmetric difference * high <= (n + n) * low. So at least these many elements of a difference are common to both:
-    as_stray = F.greatest(F.lit(1), F.ceil(F.col("differ") - F.col("n") * low * (1 + 100 / percent) / high - 1e-9))
-    as_row = F.greatest(as_stray, F.ceil((F.col("differ") * high + (F.col("n_lead") - F.col("n")) * low) / (2 * high) - 1e-9))
-    prefix = lambda least: F.slice("delta", F.lit(1), F.greatest(F.col("differ") - least + 1, F.lit(0)).cast("int"))
-    side = lambda df, name, least: df.select("lead", F.col("id").alias(name), F.col("id_root").alias(f"{name}_root"), F.col("n").alias(f"{name}_n"), F.col("differ").alias(f"{name}_differ"), F.explode(prefix(least)).alias("element"))
-    strays = scratch.keep(side(context.filter("stray"), "s", as_stray))
-    met = strays.join(side(context, "m", as_row), ["lead", "element"])
-    fits = (F.col("s_root") != F.col("m_root")) & size_fits("s_n", "m_n") & (F.abs(F.col("s_differ") - F.col("m_differ")) * high <= (F.col("s_n") + F.col("m_n")) * low)
-    tried = scratch.keep(met.filter(fits).select("lead", "s", "m").distinct())
-    whole = lambda name: rooted.select("lead", F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("delta").alias(f"{name}_delta")).dropDuplicates(["lead", name])
+    of_stray = F.greatest(F.lit(1), F.ceil(F.col("differ") - F.col("n") * low * (1 + 100 / percent) / high - 1e-9))
+    of_row = F.greatest(of_stray, F.ceil((F.col("differ") * high + (F.col("n_lead") - F.col("n")) * low) / (2 * high) - 1e-9))
+    cells = context.select("lead", "id", F.explode("delta").alias("element"))
+    often = cells.groupBy("lead", "element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    ranked = cells.join(often, ["lead", "element"]).groupBy("lead", "id").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("shared"))
+    facts = context.select("lead", "id", "id_root", "n_lead", "n", "differ", "stray")
+    ranked = scratch.keep(ranked.select("lead", "id", F.col("shared.element").alias("shared")).join(facts, ["lead", "id"]))
+
+    def side(df: DataFrame, name: str, least) -> DataFrame:
+        """Rows of the prefix; elements that no other row has are before all others, and need no row."""
+        alone = F.col("differ") - F.size("shared")
+        cut = F.slice("shared", F.lit(1), F.greatest(F.col("differ") - least + 1 - alone, F.lit(0)).cast("int"))
+        placed = F.transform(cut, lambda e, i: F.struct(e.alias("element"), (alone + i).alias("at")))
+        rows = df.select("lead", "id", "id_root", "n", "differ", F.explode(placed).alias("e"))
+        return rows.select("lead", "e.element", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "id_root", "n", "differ")), F.col("e.at").alias(f"{name}_at"))
+
+    met = scratch.keep(side(ranked.filter("stray"), "s", of_stray)).join(side(ranked, "m", of_row), ["lead", "element"])
+    common = (F.col("s_differ") + F.col("m_differ")) * high - (F.col("s_n") + F.col("m_n")) * low
+    placed = F.least(F.col("s_differ") - F.col("s_at"), F.col("m_differ") - F.col("m_at")) * (2 * high) >= common
+    tried = met.filter((F.col("s_id_root") != F.col("m_id_root")) & size_fits("s_n", "m_n") & placed)
+    tried = scratch.keep(tried.groupBy(F.col("s_id").alias("s"), F.col("m_id").alias("m")).agg(F.min("lead").alias("lead")))
+    whole = lambda name: rooted.select("lead", F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("delta").alias(f"{name}_delta"))
     both = tried.join(whole("s"), ["lead", "s"]).join(whole("m"), ["lead", "m"])
     apart = F.size("s_delta") + F.size("m_delta") - 2 * F.size(F.array_intersect("s_delta", "m_delta"))
-    return scratch.keep(both.filter(apart * high <= (F.col("s_n") + F.col("m_n")) * low).select(F.col("s").alias("a"), F.col("m").alias("b")).distinct())
+    return scratch.keep(both.filter(apart * high <= (F.col("s_n") + F.col("m_n")) * low).select(F.col("s").alias("a"), F.col("m").alias("b")))
 
 
-def _named(signed: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _named(signed: DataFrame, classes: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
     """The smallest doc_id of each row's component; classes with a null doc_id have none."""
     named = classes.select("id", "digest", "doc_id")
     if roots is not None:
         rooted = named.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
+        # Written, so that both sides of the join are dealt out for it and Spark can split a root with many classes.
+        named = rooted.join(scratch.keep(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))), "root")
     else:
         named = named.withColumn("component_id", F.col("doc_id"))
     # An empty set has no class: its rows keep their own digest (null), which no key of the join is.
