@@ -48,6 +48,7 @@ class Scratch:
         writer.option("path", f"{self.base}/{self.count}").saveAsTable(name)
         dealt = self.spark.table(name)
         self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle that dealt the rows out
         return dealt
 
     def drop(self, *frames: DataFrame) -> None:

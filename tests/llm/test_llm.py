@@ -195,6 +195,23 @@ def test_mixing(docs, rows):
     alike = {k: s[1] // k[0] for k, s in sums.items()}  # sources of one size and target
     assert all(s[1] == n * k[0] and abs(s[0] - n * k[1]) <= 2 * n * mixing.BLOCK_WORDS for (k, s), n in zip(sums.items(), alike.values(), strict=True))
     assert sum(n * k[1] for k, n in alike.items()) == pytest.approx(1.5 * total)
+    # Targets by filling: weights 5, 2, 1 by code point, null last; the excess of full sources reshared by weight.
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + size(r[1])
+    names = sorted(sizes, key=lambda x: (x is None, x))
+    weight, want, full, left = dict(zip(names, itertools.cycle((5, 2, 1)))), {}, set(), 1.5 * total
+    while True:
+        open_weight = sum(w for n, w in weight.items() if n not in full)
+        want = {n: 2 * sizes[n] if n in full else left * weight[n] / open_weight for n in names}
+        over = {n for n in names if n not in full and want[n] > 2 * sizes[n]}
+        if not over:
+            break
+        full |= over
+        left = 1.5 * total - sum(2 * sizes[n] for n in full)
+    assert {(r["source_size"], round(r["target"], 6)) for r in got} == {(sizes[n], round(want[n], 6)) for n in names}
+    shards = [r.asDict() for r in mixing.mix(docs).collect()]
+    assert sum(size(r["text"]) for r in shards) == sum(r["taken"] for r in got) and len({(r["shard"], r["place"]) for r in shards}) == max(r["shard"] * mixing.SHARD_SLOTS + r["place"] for r in shards) + 1
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and sum(size(r["text"]) for r in mixed.collect()) == sum(r["taken"] for r in got)
 
@@ -271,3 +288,15 @@ def test_lines(docs, rows):
         kept = [x for i, x in enumerate((t or "").split("\n")) if not norm(x) or first[find(norm(x))] == (d, i)]
         assert got[d][0]["kept_sha256"] == sha("\n".join(kept)), d
     assert lines.deduplicated(docs).columns == docs.columns
+
+
+def test_mix_draws_counts_for_each_shard(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    monkeypatch.setattr(mixing, "SLOT_CHUNK", 100)
+    targets = spark.createDataFrame([("a", 0, 64000, 5.0, 64000.0), ("b", 1, 30000, 2.0, 32000.0), ("c", 2, 900, 1.0, 1800.0)], "source string, number int, source_size bigint, weight double, target double")
+    got = mixing.slots(targets).collect()
+    want = {0: 1000, 1: round(32000 * 469 / 30000), 2: 30}
+    assert {n: sum(r["number"] == n for r in got) for n in want} == want
+    assert len({(r["shard"], r["place"]) for r in got}) == len(got) and len({(r["number"], r["block"], r["epoch"]) for r in got}) == len(got)
+    shares = [sum(r["number"] == 0 for r in got if r["shard"] == s) / 64 for s in range(len(got) // 64)]
+    assert 0.03 < np.std(shares) < 0.09 and abs(np.mean(shares) - 1000 / len(got)) < 0.02  # binomial: 0.058
