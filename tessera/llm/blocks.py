@@ -53,12 +53,12 @@ def block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts whose texts hold about limit bytes (one long text may be more)."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20, most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most that many rows whose texts hold about limit bytes (one long text may be more)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > limit:
+        if held and held + n > limit or i - start == most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += int(n)

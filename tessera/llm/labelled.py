@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -23,3 +27,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 def label_counts(labels: DataFrame, label: str, train: Column) -> dict[int, int]:
     rows = labels.filter(F.col(label).isin(0, 1) & train).groupBy(label).count().collect()
     return {0: 0, 1: 0} | {int(r[0]): r[1] for r in rows}
+
+
+def fitted(rows: DataFrame, fit: Callable[[list[dict]], object]) -> object:
+    """fit of the rows, which are a bounded sample (in the order of their columns), in one task: the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for batch in batches for row in batch.to_pylist()]
+        names = list(held[0]) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(held, key=lambda r: [r[c] for c in names])))], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.blocks import LOWER, SPACE, U, block, mix, prefix, slices, span_hash, words
 from tessera.llm.common import map_arrow, split_fold
-from tessera.llm.labelled import labelled_sample
+from tessera.llm.labelled import fitted, labelled_sample
 
 WORD_TERMS = 2048
 CLASS_TERMS = 2048
@@ -111,28 +111,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter:
                     terms.append(np.concatenate([at.astype(np.float32), row[at]]).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(terms, pa.binary())], names=["doc_id", "label", "terms"])
 
-    found = sorted(map_arrow(rows, ["doc_id", F.col("label").cast("int").alias("label"), "text"], "doc_id bigint, label int, terms binary", run).collect())
-    counts = np.zeros((len(found), DIMENSIONS), np.float32)
-    for i, r in enumerate(found):
-        pairs = np.frombuffer(r["terms"], np.float32).reshape(2, -1)
-        counts[i, pairs[0].astype(np.int64)] = pairs[1]
-    return Voter(counts, np.array([r["label"] for r in found]))
+    def made(found: list[dict]) -> Voter:
+        counts = np.zeros((len(found), DIMENSIONS), np.float32)
+        for i, r in enumerate(found):
+            pairs = np.frombuffer(r["terms"], np.float32).reshape(2, -1)
+            counts[i, pairs[0].astype(np.int64)] = pairs[1]
+        return Voter(counts, np.array([r["label"] for r in found]))
 
+    return fitted(map_arrow(rows, ["doc_id", F.col("label").cast("int").alias("label"), "text"], "doc_id bigint, label int, terms binary", run), made)
 
-def score(docs: DataFrame, voter: Voter, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, carried columns and score of every document."""
+
+def score(docs: DataFrame, voter: Voter, whole: bool = False) -> DataFrame:
+    """doc_id and score of every document; if whole, row (a struct of all its columns) and score."""
     shared = docs.sparkSession.sparkContext.broadcast(voter)
-    kept = docs.select("doc_id", *carry).schema
+    kept = F.struct(*docs.columns).alias("row") if whole else F.col("doc_id")
+    given = docs.select(kept, F.coalesce("text", F.lit("")).alias("text"))
+    name, kind = given.columns[0], given.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept.names), pa.array(own.score(term_counts(part.column("text"))))], names=[*kept.names, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(name), pa.array(own.score(term_counts(part.column("text"))))], names=[name, "score"])
 
-    columns = [*kept.names] if "text" in kept.names else [*kept.names, F.coalesce("text", F.lit("")).alias("text")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double"
-    return map_arrow(docs, columns, schema, run)
+    return given.mapInArrow(run, f"{name} {kind}, score double")
 
 
 def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

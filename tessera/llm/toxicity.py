@@ -2,14 +2,15 @@
 
 N-grams of ``SIZES`` characters (lower case, any white space as a space) are hashed to ``BUCKETS`` and count once for a
 document. On at most ``SAMPLE`` labelled rows of each label the log ratio of an n-gram's share of toxic and of clean
-documents is taken, smoothed towards no difference. The ``FEATURES`` with the largest ratio, weighted by the root of how
-many documents have them, are kept; only those that speak for toxicity, since the others add up with a text's length. A
-logistic regression with a ridge penalty is fitted on features scaled by their ratios, with rows weighted so that the
-labels have their shares among all training rows, a toxic one ``TOXIC_WEIGHT`` times.
-
-The bounds on labelled rows are the only sample; every document is scored on its whole text. A null or empty text has the
-score of no n-gram at all. Without labelled rows of both kinds the score is 0.5. Repeated rows stay, an empty table gives
-no rows.
+documents is taken, smoothed towards no difference; it is signed: n-grams may speak for either. The ``FEATURES`` with the
+largest size of it, weighted by the root of how many documents have them, are kept. A logistic regression with a ridge
+penalty is fitted on features scaled by their ratios, with rows weighted so that the labels have their shares among all
+training rows, a toxic one ``TOXIC_WEIGHT`` times.
+
+Counts are summed by bucket on the executors; the regression is fitted in one task, which holds FEATURES numbers a row of
+the sample. The bounds on labelled rows are the only sample; every document is scored on its whole text (a very long one
+alone in its slice). A null or empty text has the score of no n-gram at all. Without labelled rows of both kinds the score
+is 0.5. Repeated rows stay, an empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.blocks import U, slices
-from tessera.llm.common import map_arrow, split_fold, with_texts
-from tessera.llm.labelled import label_counts, labelled_sample
+from tessera.llm.common import Scratch, map_arrow, split_fold, with_texts
+from tessera.llm.labelled import fitted, label_counts, labelled_sample
 
 SIZES = (5, 6, 7)
 BITS = 20
@@ -56,66 +57,99 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Linear:
-    """Which feature a bucket is (-1: none), the features' weights, and the intercept."""
+    """Which feature a bucket is (-1: none), the features' weights, and the intercept.
 
-    def __init__(self, buckets: list[np.ndarray], labels: np.ndarray, totals: dict[int, int]):
-        self.place, self.weights, self.intercept = np.full(BUCKETS, -1, np.int32), np.zeros(FEATURES), 0.0
+    chosen are the features' buckets, ratio their log ratios, rows those of the sample: the features of each.
+    """
+
+    def __init__(self, chosen: np.ndarray, ratio: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, totals: dict[int, int]):
+        k = len(chosen)
+        self.place, self.weights, self.intercept = places(chosen), np.zeros(k), 0.0
         ones, n = int(labels.sum()), len(labels)
         if not 0 < ones < n:
             return
-        toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for own, label in zip(buckets, labels, strict=True):  # row by row: the driver holds the n-grams once
-            (toxic if label else clean)[own] += 1
-        share = ones / n
-        ratio = np.log((toxic + SMOOTHING * share) / (ones + SMOOTHING)) - np.log((clean + SMOOTHING * (1 - share)) / (n - ones + SMOOTHING))
-        chosen = np.argsort(-np.maximum(ratio, 0) * np.sqrt(toxic + clean), kind="stable")[:FEATURES]
-        self.place[chosen] = np.arange(FEATURES)
-        x = np.zeros((n, FEATURES + 1), np.float32)
-        for i, own in enumerate(buckets):
-            at = self.place[own]
-            x[i, at[at >= 0]] = 1
-        x[:, :FEATURES] *= ratio[chosen]
-        x[:, FEATURES] = 1
+        x = np.zeros((n, k + 1), np.float32)
+        for i, own in enumerate(rows):
+            x[i, own] = 1
+        x[:, :k] *= ratio
+        x[:, k] = 1
         weight = np.where(labels == 1, TOXIC_WEIGHT * totals[1] / ones, totals[0] / (n - ones))
         weight = (weight / weight.sum()).astype(np.float32)
         # Accelerated gradient steps; the step length is from the largest curvature.
-        v = np.ones(FEATURES + 1, np.float32)
+        v = np.ones(k + 1, np.float32)
         for _ in range(20):
             v = x.T @ (weight * (x @ v))
             top = np.linalg.norm(v)
             v /= top
         rate = 1 / (0.25 * 1.05 * top + RIDGE)
-        now = before = np.zeros(FEATURES + 1, np.float32)
+        now = before = np.zeros(k + 1, np.float32)
         for step in range(STEPS):
             ahead = now + np.float32(step / (step + 3)) * (now - before)
             error = weight * (1 / (1 + np.exp(-(x @ ahead))) - labels)
             before, now = now, ahead - np.float32(rate) * (x.T @ error.astype(np.float32) + np.float32(RIDGE) * np.append(ahead[:-1], np.float32(0)))
-        self.weights, self.intercept = (now[:-1] * ratio[chosen]).astype(np.float64), float(now[-1])
+        self.weights, self.intercept = (now[:-1] * ratio).astype(np.float64), float(now[-1])
 
     def score(self, texts: list[str]) -> np.ndarray:
         seen = []
         for doc, bucket in grams(texts):
             at = self.place[bucket]
             hit = at >= 0
-            seen.append(doc[hit].astype(np.int64) * FEATURES + at[hit])
+            seen.append(doc[hit].astype(np.int64) * len(self.weights) + at[hit])
         seen = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
-        z = self.intercept + np.bincount(seen // FEATURES, self.weights[seen % FEATURES], minlength=len(texts))
+        k = max(len(self.weights), 1)
+        z = self.intercept + np.bincount(seen // k, self.weights[seen % k] if len(seen) else None, minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def places(chosen: np.ndarray) -> np.ndarray:
+    out = np.full(BUCKETS, -1, np.int32)
+    out[chosen] = np.arange(len(chosen))
+    return out
+
+
+def own_buckets(text: str) -> np.ndarray:
+    found = [b for _, b in grams([text])]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """bucket, toxic, clean: in how many rows (label, text) of either label it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, BUCKETS), np.int32)
+        for batch in batches:
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
+                counts[label, own_buckets(text.as_py())] += 1
+        at = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (at, counts[1, at], counts[0, at])], names=["bucket", "toxic", "clean"])
+
+    parts = rows.select("label", "text").mapInArrow(run, "bucket bigint, toxic bigint, clean bigint")
+    return parts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Linear:
     train = split_fold(F.col("doc_id"), FOLDS) != HELD_OUT
-    rows = labelled_sample(docs, labels, "toxic", train, sample)
+    rows = labelled_sample(docs, labels.filter(F.col("toxic").isin(0, 1)), "toxic", train, sample)
+    rows = Scratch(docs.sparkSession).keep(rows.select("doc_id", F.col("label").cast("int").alias("label"), "text"))
+    ones, n = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    totals = label_counts(labels, "toxic", train)
+    none = np.zeros(0, np.int64)
+    if not 0 < ones < n:
+        return Linear(none, none, [], none, totals)
+    log_share = lambda c, share, m: F.log((F.col(c) + SMOOTHING * share) / (m + SMOOTHING))
+    ratio = log_share("toxic", ones / n, ones) - log_share("clean", 1 - ones / n, n - ones)
+    weighed = gram_counts(rows).withColumn("ratio", ratio)
+    found = weighed.orderBy(F.desc(F.abs("ratio") * F.sqrt(F.col("toxic") + F.col("clean"))), "bucket").limit(FEATURES).select("bucket", "ratio").collect()
+    chosen, ratios = np.array([r[0] for r in found]), np.array([r[1] for r in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = places(chosen)
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = [np.unique(np.concatenate([b for _, b in grams([t.as_py()])] or [np.zeros(0, np.int32)])).astype(np.int32).tobytes() for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "grams"])
+            at = [place[own_buckets(t.as_py())] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([a[a >= 0].tobytes() for a in at], pa.binary())], names=["doc_id", "label", "features"])
 
-    found = sorted(map_arrow(rows, ["doc_id", F.col("label").cast("int").alias("label"), "text"], "doc_id bigint, label int, grams binary", run).collect())
-    buckets = [np.frombuffer(r["grams"], np.int32) for r in found]
-    return Linear(buckets, np.array([r["label"] for r in found], np.int64), label_counts(labels, "toxic", train))
+    made = lambda held: Linear(chosen, ratios, [np.frombuffer(r["features"], np.int32) for r in held], np.array([r["label"] for r in held], np.int64), totals)
+    return fitted(rows.mapInArrow(run, "doc_id bigint, label int, features binary"), made)
 
 
 def score(docs: DataFrame, model: Linear) -> DataFrame:

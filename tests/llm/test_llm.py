@@ -300,3 +300,55 @@ def test_mix_draws_counts_for_each_shard(spark, monkeypatch):
     assert len({(r["shard"], r["place"]) for r in got}) == len(got) and len({(r["number"], r["block"], r["epoch"]) for r in got}) == len(got)
     shares = [sum(r["number"] == 0 for r in got if r["shard"] == s) / 64 for s in range(len(got) // 64)]
     assert 0.03 < np.std(shares) < 0.09 and abs(np.mean(shares) - 1000 / len(got)) < 0.02  # binomial: 0.058
+
+
+def test_quality_against_plain_numpy(spark, judged):
+    """Voting by a full decomposition and all cosines."""
+    docs, labels = judged
+    got = by_id(quality.op3_quality(docs, labels))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    import pyarrow as pa
+
+    counts = lambda ids: quality.term_counts(pa.array([texts[i] for i in ids])).astype(np.float64)
+    fit_on = sorted(known)
+    c = counts(fit_on)
+    idf = np.log((1 + len(fit_on)) / (1 + (c > 0).sum(axis=0))) + 0.2
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    a = unit(np.log1p(c) * idf)
+    axes = np.linalg.svd(a, full_matrices=False)[2][: quality.RANK].T
+    y = np.array([known[i] for i in fit_on], float)
+    ids = sorted(texts)
+    near = unit((np.log1p(counts(ids)) * idf) @ axes) @ unit(a @ axes).T
+    best = np.argsort(-near, axis=1)[:, : quality.NEIGHBOURS]
+    votes = np.maximum(np.take_along_axis(near, best, 1), 0) ** quality.POWER
+    want = ((votes * y[best]).sum(1) + quality.PRIOR * y.mean()) / (votes.sum(1) + quality.PRIOR)
+    apart = np.abs(np.array([got[i][0]["score"] for i in ids]) - want)
+    assert np.quantile(apart, 0.9) < 0.02 and apart.max() < 0.2  # the operator's axes are found by iteration, in single precision
+
+
+def test_toxicity_against_plain_numpy(spark, judged):
+    """Counts, ratios and the regression by Newton steps on the same features."""
+    docs, labels = judged
+    got = by_id(toxicity.op7_toxicity(docs, labels))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    ids, sets = sorted(known), {i: set(toxicity.own_buckets(t).tolist()) for i, t in texts.items()}
+    y = np.array([known[i] for i in ids], float)
+    n, ones = len(ids), y.sum()
+    toxic, clean = ({b: sum(b in sets[i] for i in ids if known[i] == k) for b in set().union(*sets.values())} for k in (1, 0))
+    ratio = {b: np.log((toxic[b] + 3 * ones / n) / (ones + 3)) - np.log((clean[b] + 3 * (1 - ones / n)) / (n - ones + 3)) for b in toxic if toxic[b] + clean[b]}
+    chosen = sorted(ratio, key=lambda b: (-abs(ratio[b]) * np.sqrt(toxic[b] + clean[b]), b))[: toxicity.FEATURES]
+    row = lambda i: [ratio[b] * (b in sets[i]) for b in chosen] + [1.0]
+    x = np.array([row(i) for i in ids])
+    w = np.where(y == 1, 3.0, 1.0)
+    w /= w.sum()
+    # Plain gradient steps in double precision; the ridge doesn't hold the intercept.
+    k, theta, last = len(chosen), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    rate = 1 / (0.25 * 1.05 * np.linalg.norm(np.sqrt(w)[:, None] * x, 2) ** 2 + 1e-3)
+    for step in range(toxicity.STEPS):
+        ahead = theta + step / (step + 3) * (theta - last)
+        grad = x.T @ (w * (1 / (1 + np.exp(-x @ ahead)) - y)) + 1e-3 * np.append(ahead[:k], 0)
+        last, theta = theta, ahead - rate * grad
+    for i in texts:
+        assert abs(got[i][0]["score"] - 1 / (1 + np.exp(-np.dot(row(i), theta)))) < 0.01, i
