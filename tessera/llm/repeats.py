@@ -13,12 +13,14 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (
    all positions are streamed in the order of the text: between two samples the match moves along with the position and
    gets a byte shorter at each step. Matches of LENGTH or more tie equal windows; all but the first of each tie are
    marked.
-3. An anchor with more than ``MOST_REGIONS`` different surroundings would make one text too long. Its windows are dealt
-   out by their own 128-bit hashes instead, and all but the first are marked.
+3. An anchor with more than ``MOST_REGIONS`` different surroundings would make one text too long. Its regions are cut
+   again, by another minimizer of their windows, and go through 1 and 2 as before: equal windows stay together. What is as
+   frequent after ``LEVELS`` cuts is dealt out by the 128-bit hashes of its windows, and all but the first are marked.
 4. The marks of a document meet its text, and the bytes they cover go.
 
 Texts are UTF-8 bytes, null is empty, matches never cross documents. Rows with equal doc_id and text are one document and
-get the same result; of equal doc_ids with different texts the position decides. Null doc_ids come first. An empty table
+get the same result; of equal doc_ids with different texts the position decides. Null doc_ids come first, by the hash
+of the text. A text is scanned in pieces of ``PIECE`` bytes, however long it is. An empty table
 gives no rows. Other columns are left out.
 """
 
@@ -38,8 +40,10 @@ LENGTH = 100
 GRAM = 24
 INDEX_BYTES = 1 << 19
 MOST_REGIONS = 20_000
+LEVELS = 4
 PIECE = 1 << 22
 PLACE_BITS = 24
+#: Null doc_ids are numbered from here, by text.
 NO_ID = -(2**63)
 #: A place in one long: start of the windows, 24 bits of the text's hash, and how many windows.
 VERSION_BITS, COUNT_BITS = 24, 7
@@ -72,7 +76,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def regions(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def regions(data: np.ndarray, ends: np.ndarray, level: int = 0) -> tuple[np.ndarray, ...]:
     """start, count, anchor hash, region hash of the windows in data; ends has the end of its document for each byte."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))
     if len(data) < LENGTH:
@@ -80,7 +84,7 @@ def regions(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = prefix(data)
     at = np.arange(len(data) - GRAM + 1)
     grams = span_hash(sums, at, at + GRAM)
-    ranked = (mix(grams) & ~U((1 << PLACE_BITS) - 1)) | at.astype(U)
+    ranked = (mix(grams ^ mix(np.array([level], U))) & ~U((1 << PLACE_BITS) - 1)) | at.astype(U)
     anchor = (sliding_least(ranked, LENGTH - GRAM + 1) & U((1 << PLACE_BITS) - 1)).astype(np.int64)
     starts = np.arange(len(anchor))
     fits = starts + LENGTH <= ends[: len(anchor)]
@@ -200,7 +204,7 @@ class RunIndex:
     how many bytes both agree, up to an end mark.
     """
 
-    def __init__(self, symbols: np.ndarray, is_end: np.ndarray):
+    def __init__(self, symbols: np.ndarray):
         order = suffix_array(symbols)
         bwt = symbols[order - 1]
         # End marks all differ, so that each is a run of its own.
@@ -234,7 +238,7 @@ def repeated_windows(texts: list[bytes]) -> list[np.ndarray]:
     symbols[~is_end] = np.frombuffer(b"".join(texts), np.uint8)
     symbols[is_end] = 256 + np.arange(len(texts))
     n = len(symbols)
-    length, other = RunIndex(symbols, is_end).matching_statistics(n)
+    length, other = RunIndex(symbols).matching_statistics(n)
     tied = np.flatnonzero(length >= LENGTH)
     root = np.arange(n)
     root[tied] = other[tied]
@@ -291,6 +295,22 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=names)
 
 
+def _cut_again(level: int):
+    """Regions of contested regions (h, doc, place, bytes) by the minimizers of this level; their h also depends on the old one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for old, doc, p, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "place", "bytes")), strict=True):
+                start, count, h, sig = regions(np.frombuffer(raw, np.uint8), np.full(len(raw), len(raw)), level)
+                p = np.int64(p)
+                found.append((mix(h ^ mix(np.array([old], np.int64).view(U))), sig | U(1), np.full(len(h), doc), place(start_of(p) + start, np.full(len(h), version_of(p)), count)))
+            if found:
+                yield _batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    return run
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of regions of hot anchors as a row, by two hashes; repeats inside a batch come as marks."""
     for batch in batches:
@@ -330,21 +350,29 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, kept (bytes), n_bytes, n_removed, n_spans (maximal removed runs) of every row of docs."""
     scratch = Scratch(docs.sparkSession)
     version = F.pmod(F.xxhash64("text"), F.lit(1 << VERSION_BITS))
-    texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("version", version)
+    texts = docs.select("doc_id", F.coalesce("doc_id", NO_ID + F.xxhash64("text").bitwiseAND(2**62 - 1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("version", version)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def resolved(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "h").sortWithinPartitions("h", "sig", "doc", "place").mapInArrow(_resolve, ROWS)
 
-    found = scratch.keep(resolved(texts.select("doc", "version", "text").mapInArrow(_scan, ROWS)))
-    contested = found.filter("sig = 1").select("h", "doc", "place")
-    hot = contested.groupBy("h").count().filter(F.col("count") > MOST_REGIONS).select(F.col("h").alias("hot_h"))
-    flagged = contested.join(hot, F.col("h") == F.col("hot_h"), "left").select("h", "doc", "place", F.col("hot_h").isNotNull().alias("hot"))
-    wanted = flagged.groupBy("doc").agg(F.collect_list(F.struct("h", "place", "hot")).alias("wanted"))
-    fetched = scratch.keep(texts.join(wanted, "doc").select("doc", "version", "text", "wanted").mapInArrow(_fetch, "h bigint, doc bigint, place bigint, bytes binary, hot boolean"))
-    indexed = fetched.filter("not hot").select("h", "doc", "place", "bytes").repartition(parts, "h").sortWithinPartitions("h", "doc", "place").mapInArrow(_index, ROWS)
-    dealt = resolved(fetched.filter("hot").select("doc", "place", "bytes").mapInArrow(_windows, ROWS))
-    marks = found.filter("sig = 0").unionAll(indexed).unionAll(dealt.filter("sig = 0"))
+    rows, level, marks = texts.select("doc", "version", "text").mapInArrow(_scan, ROWS), 0, None
+    while rows is not None:
+        found = scratch.keep(resolved(rows))
+        contested = found.filter("sig = 1").select("h", "doc", "place")
+        hot = scratch.keep(contested.groupBy("h").count().filter(F.col("count") > MOST_REGIONS).select(F.col("h").alias("hot_h")))
+        flagged = contested.join(hot, F.col("h") == F.col("hot_h"), "left").select("h", "doc", "place", F.col("hot_h").isNotNull().alias("hot"))
+        wanted = flagged.groupBy("doc").agg(F.collect_list(F.struct("h", "place", "hot")).alias("wanted"))
+        fetched = scratch.keep(texts.join(wanted, "doc").select("doc", "version", "text", "wanted").mapInArrow(_fetch, "h bigint, doc bigint, place bigint, bytes binary, hot boolean"))
+        indexed = fetched.filter("not hot").select("h", "doc", "place", "bytes").repartition(parts, "h").sortWithinPartitions("h", "doc", "place").mapInArrow(_index, ROWS)
+        more = found.filter("sig = 0").unionAll(indexed)
+        marks, level, rows = more if marks is None else marks.unionAll(more), level + 1, None
+        if not hot.isEmpty():
+            left = fetched.filter("hot").select("h", "doc", "place", "bytes")
+            if level <= LEVELS:
+                rows = left.mapInArrow(_cut_again(level), ROWS)
+            else:
+                marks = marks.unionAll(resolved(left.select("doc", "place", "bytes").mapInArrow(_windows, ROWS)).filter("sig = 0"))
     marks = marks.groupBy("doc").agg(F.collect_list("place").alias("marks"))
     return texts.join(marks, "doc", "left").select("doc_id", "version", "text", "marks").mapInArrow(_cut, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 

@@ -238,6 +238,29 @@ def test_repeats_of_hot_anchors(docs, monkeypatch):
     assert by_id(repeats.op9_repeats(docs)) == plain
 
 
+def test_repeats_of_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    r = random.Random(11)
+    base = prose(r, 400)
+    texts = [base, prose(r, 50) + base[300:2000] + prose(r, 20), base[1500:] + base[:900]]
+    seen, want = set(), []
+    for t in texts:
+        b, gone = t.encode(), set()
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone.update(range(p, p + 100))
+            seen.add(b[p : p + 100])
+        want.append(len(gone))
+    got = by_id(repeats.op9_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    assert [got[i][0]["n_removed"] for i in range(3)] == want
+
+
+def test_repeats_with_null_ids(spark):
+    a, b = prose(random.Random(12), 60), prose(random.Random(13), 60)
+    got = repeats.op9_repeats(spark.createDataFrame([(None, a), (None, b), (None, a), (1, a + b)], "doc_id bigint, text string")).collect()
+    assert sorted((g["doc_id"] or 0, g["n_removed"] > 0) for g in got) == [(0, False), (0, False), (0, False), (1, True)]
+
+
 def test_run_index():
     r = random.Random(9)
     base = bytes(r.choice(b"abc") for _ in range(150))
