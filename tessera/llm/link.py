@@ -46,29 +46,32 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def elections(postings: DataFrame, judge: Callable[[DataFrame], DataFrame], scratch: Scratch) -> list[DataFrame]:
-    """What judge gave in each round, for postings (key, id, weight), all distinct; a list's leader is the row of most weight.
+    """What judge gave in each round, for postings (key, id, weight, facts), all distinct; a list's leader is the row of most weight.
 
-    judge adds columns to pairs (lead, id), near among them: whether the row leaves the lists that this leader has. It may
-    leave out pairs, whose rows stay in their lists.
+    facts is what judge needs to know of a row, of a few bytes; it gets pairs lead, id, lead_facts, id_facts, and gives lead,
+    id and near: whether the row leaves the lists that this leader has. It may leave out pairs, whose rows stay in their lists.
     """
     given: list[DataFrame] = []
     # own: the keys of postings that this one stands for.
-    left, rounds = scratch.keep(postings.select("key", "id", "weight", F.array("key").alias("own"))), 0
+    row = ("id", "weight", "facts")
+    left, rounds = scratch.keep(postings.select("key", *row, F.array("key").alias("own"))), 0
     while True:
-        lists = left.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(-F.col("weight"), "id")).alias("best")).filter("held > 1")
-        shared = left.join(lists.select("key", F.col("best.id").alias("lead")), "key").filter("id <> lead")
-        shared = scratch.keep(shared.select("key", "id", "weight", "own", "lead"))
+        best = F.min_by(F.struct("id", "facts"), F.struct(-F.col("weight"), "id"))
+        lists = left.groupBy("key").agg(F.count(F.lit(1)).alias("held"), best.alias("best")).filter("held > 1")
+        shared = left.join(lists.select("key", F.col("best.id").alias("lead"), F.col("best.facts").alias("lead_facts")), "key").filter("id <> lead")
+        shared = scratch.keep(shared.select("key", *row, "own", "lead", "lead_facts"))
         if shared.isEmpty():
             return given
         scratch.drop(left)
-        judged = scratch.keep(judge(shared.select("lead", "id").distinct()))
+        pairs = shared.groupBy("lead", "id").agg(F.first("lead_facts").alias("lead_facts"), F.first("facts").alias("id_facts"))
+        judged = scratch.keep(judge(pairs))
         given.append(judged)
-        stay = shared.join(judged.filter("near").select("lead", "id"), ["lead", "id"], "left_anti").select("key", "id", "weight", "own")
+        stay = shared.join(judged.filter("near").select("lead", "id"), ["lead", "id"], "left_anti").select("key", *row, "own")
         rounds += 1
         if rounds % ROUNDS == 0:
-            of = stay.groupBy("id", "weight").agg(F.collect_list("own").alias("sets"))
-            of = of.select("id", "weight", "sets", F.array_distinct(F.flatten("sets")).alias("keys"))
+            of = stay.groupBy(*row).agg(F.collect_list("own").alias("sets"))
+            of = of.select(*row, "sets", F.array_distinct(F.flatten("sets")).alias("keys"))
             more = F.transform("sets", lambda s: F.transform(F.filter("keys", lambda k: k > F.element_at(s, -1)), lambda k: F.concat(s, F.array(k))))
-            stay = of.select("id", "weight", F.explode(F.flatten(more)).alias("own")).select(F.xxhash64("own").alias("key"), "id", "weight", "own")
+            stay = of.select(*row, F.explode(F.flatten(more)).alias("own")).select(F.xxhash64("own").alias("key"), *row, "own")
         left = scratch.keep(stay)
         scratch.drop(shared)

@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) ->
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").select("key")
     met = scratch.keep(each.join(often, "key"))
     # The more keys a class shares, the more central it is among its copies: lists are led by such a one.
-    postings = met.join(met.groupBy("id").agg(F.count(F.lit(1)).alias("weight")), "id")
+    postings = met.join(met.groupBy("id").agg(F.count(F.lit(1)).alias("weight")), "id").withColumn("facts", F.lit(0))
     size_fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
     def judge(pairs: DataFrame) -> DataFrame:
