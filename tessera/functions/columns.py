@@ -44,9 +44,14 @@ def sigmoid(c: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
 
 
+def quoted(name: str) -> str:
+    """A column's name with dots and spaces taken as they are."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def non_null_count(columns: Iterable[str]) -> Column:
     """How many of the columns are not null."""
-    return sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+    return sum((F.col(quoted(c)).isNotNull().cast("int") for c in columns), F.lit(0))
 
 
 def split_list(text: str) -> list[str]:
@@ -55,7 +60,7 @@ def split_list(text: str) -> list[str]:
 
 def keep_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Those of the named columns that exist, in the order of names."""
-    return df.select(*[n for n in names if n in df.columns])
+    return df.select(*[quoted(n) for n in names if n in df.columns])
 
 
 def require(df: DataFrame, names: Iterable[str], shown: int = 10) -> None:

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.columns import clean_key, keep_present, non_null_count, require
+from tessera.functions.columns import clean_key, keep_present, non_null_count, quoted
 
 #: Columns of the positives' table and those that identify a compound.
 POSITIVE_COLUMNS = ("Entry", "Prodrugid", "Prodrug", "SMILES", "PubChem", "CAS No.", "inchi", "inchi_k")
-IDENTIFIERS = ("Entry", "Prodrugid", "PubChem", "CAS No.", "inchi", "inchi_k")
+IDENTIFIERS = ("Prodrugid", "Prodrug", "PubChem", "CAS No.", "inchi", "inchi_k")
 
 
 def best_row(df: DataFrame, key: str, identifiers: Sequence[str], tie: Sequence[str | Column]) -> DataFrame:
@@ -28,14 +28,29 @@ def value_counts(df: DataFrame, column: str, more_than: int = 1, top: int = 20)
 
 
 def prepare_positives(sheets: DataFrame, key: str = "SMILES", row_id: str = "row_id") -> DataFrame:
-    """Distinct rows, keys cleaned, the best row of each key, known columns only, with prodrug_label = 1."""
-    require(sheets, [key])
+    """Distinct rows, keys cleaned, the best row of each key, known columns only, with prodrug_label = 1.
+
+    Without a key column the distinct rows stay as they are.
+    """
+    data = [c for c in sheets.columns if c != row_id]
+    best = sheets.dropDuplicates(data)
+    if key in data:
+        order = [row_id] if row_id in sheets.columns else [quoted(c) for c in data]
+        distinct = sheets.withColumn(key, clean_key(F.col(key))).dropDuplicates(data)
+        # Rows without a key are told apart by all their columns.
+        best = best_row(distinct, key, [c for c in IDENTIFIERS if c in data], order).dropDuplicates(data)
+    return keep_present(best, POSITIVE_COLUMNS).withColumn("prodrug_label", F.lit(1))
+
+
+def positives_report(sheets: DataFrame, key: str = "SMILES", row_id: str = "row_id") -> DataFrame:
+    """One row: n_raw, n_distinct (rows), n_prepared, n_with_key, n_without_key (of the prepared)."""
     data = [c for c in sheets.columns if c != row_id]
-    order = [row_id] if row_id in sheets.columns else data
-    distinct = sheets.withColumn(key, clean_key(F.col(key))).dropDuplicates(data)
-    best = best_row(distinct, key, [c for c in IDENTIFIERS if c in data], order)
-    # Rows without a key are told apart by all their columns.
-    return keep_present(best.dropDuplicates(data), POSITIVE_COLUMNS).withColumn("prodrug_label", F.lit(1))
+    prepared = prepare_positives(sheets, key, row_id)
+    has_key = F.col(key).isNotNull() if key in data else F.lit(False)
+    counts = prepared.agg(F.count(F.lit(1)).alias("n_prepared"), F.count_if(has_key).alias("n_with_key"), F.count_if(~has_key).alias("n_without_key"))
+    raw = sheets.agg(F.count(F.lit(1)).alias("n_raw"))
+    distinct = sheets.select(*map(quoted, data)).distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
+    return raw.join(F.broadcast(distinct)).join(F.broadcast(counts))  # one row each
 
 
 def connectivity(inchikey: Column) -> Column:

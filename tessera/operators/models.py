@@ -63,6 +63,7 @@ def registry(num_trees: int | None = None) -> dict[str, Entry]:
         "GradientBoosting": Entry(lambda d, rows: C.GBTClassifier(maxIter=t(100), maxDepth=3, stepSize=0.1, seed=SEED), "positive"),
         "AdaBoost": Entry(lambda d, rows: AdaBoost(rounds=t(50)), "positive"),
         "Bagging": Entry(_trees(t(300), featureSubsetStrategy="all")),
+        "Voting": Entry(lambda d, rows: Voting({"RandomForest": Entry(_trees(t(300)), "balanced"), **{n: registry(num_trees)[n] for n in ("SVM_RBF", "LogReg_ElasticNet")}})),
         "MLP": Entry(lambda d, rows: C.MultilayerPerceptronClassifier(layers=[d, 200, 2], maxIter=1000, seed=SEED)),
         "XGBoost": Entry(lambda d, rows: importlib.import_module("xgboost.spark").SparkXGBClassifier(n_estimators=800, max_depth=6, learning_rate=0.03, subsample=0.8), "positive", "xgboost"),
         "LightGBM": Entry(lambda d, rows: importlib.import_module("synapse.ml.lightgbm").LightGBMClassifier(numIterations=1200, numLeaves=64), "positive", "synapse"),
@@ -187,6 +188,37 @@ class Boosted(Transformer):
         return df.drop("_p", *(f"_p{i}" for i in range(len(self.parts))))
 
 
+class Voted(Transformer):
+    """The mean of the members' probabilities of class 1."""
+
+    def __init__(self, parts: Sequence[Model]):
+        super().__init__()
+        self.parts = list(parts)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        for i, part in enumerate(self.parts):
+            df = score_column(part.transform(df)).withColumnRenamed("score", f"_s{i}").drop("probability", "rawPrediction", "prediction")
+        p = sum((F.col(f"_s{i}") for i in range(len(self.parts))), F.lit(0.0)) / len(self.parts)
+        df = df.withColumn("_p", p).withColumns({"probability": array_to_vector(F.array(1 - F.col("_p"), F.col("_p"))), "prediction": (F.col("_p") > 0.5).cast("double")})
+        return df.drop("_p", *(f"_s{i}" for i in range(len(self.parts))))
+
+
+class Voting(Estimator):
+    """Soft voting: each member is fitted with its own weights."""
+
+    def __init__(self, members: dict[str, Entry]):
+        super().__init__()
+        self.members, self.label = members, "label"
+
+    def setLabelCol(self, name: str) -> Voting:  # noqa: N802
+        self.label = name
+        return self
+
+    def _fit(self, df: DataFrame) -> Voted:
+        rows = df.drop("weight")
+        return Voted([fit(entry, rows, self.label) for entry in self.members.values()])
+
+
 class AdaBoost(Estimator):
     """Discrete boosting of stumps: rows that a stump gets wrong weigh more for the next."""
 

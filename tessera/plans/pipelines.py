@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.functions.columns import require, require_rows
+from tessera.functions.columns import clean_key, require, require_rows
 from tessera.operators import chem, hardness, ingest, metrics, models, similarity, split
 
 #: Default names of the positive source and of the negatives' sources.
@@ -16,9 +16,10 @@ DECOYS = ("dude", "chembl_random", "chembl_high_conf")
 SCORE_KEYS = ("model", "feature_regime", "dataset", "split")
 
 
-def prepare_positives(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(positives, report of repeated keys before any de-duplication)."""
-    return ingest.prepare_positives(sheets), ingest.value_counts(sheets.withColumn("SMILES", F.trim(F.col("SMILES"))), "SMILES")
+def prepare_positives(sheets: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(positives, repeated keys before any de-duplication if there are keys, counts)."""
+    repeated = ingest.value_counts(sheets.withColumn("SMILES", clean_key(F.col("SMILES"))), "SMILES") if "SMILES" in sheets.columns else None
+    return ingest.prepare_positives(sheets), repeated, ingest.positives_report(sheets)
 
 
 def overlap(df: DataFrame, key: str = "inchikey", source: str = "source_dataset", positive: str = POSITIVE, row_id: str = "row_id") -> DataFrame:
@@ -61,7 +62,10 @@ def domain_check(df: DataFrame, row_id: str = "row_id", source: str = "source_da
     scored = domain_scores(require_rows(df.filter(F.col(source).isin(*decoys)), "negatives"), row_id, source, decoys, num_trees).withColumnRenamed("prediction", "predicted").withColumnRenamed("_class", "y")
     by_fold = metrics.multiclass_metrics(scored, ["fold"]).join(metrics.macro_auc(scored, classes, "probabilities", ["fold"]), "fold")
     summary = metrics.mean_and_std_rows(by_fold, ["fold", "accuracy", "balanced_accuracy", "macro_f1", "macro_auc_ovr"])
-    return by_fold, metrics.bias_alarm(summary), metrics.confusion(scored, classes)
+    alarmed = metrics.bias_alarm(summary).withColumn("alarm", F.when(F.col("stat") == "mean", F.col("alarm")))
+    named = F.element_at(F.array(*map(F.lit, sorted(decoys))), (F.col("predicted") + 1).cast("int"))
+    counts = metrics.confusion(scored.join(df.select(row_id, F.col(source).alias("_source")), row_id).select(F.col("_source").alias("y"), named.alias("predicted")), sorted(decoys))
+    return by_fold, alarmed, counts.withColumn("true_label", F.concat(F.lit("true_"), "true_label"))
 
 
 def cross_source(df: DataFrame, row_id: str = "row_id", label: str = "label", source: str = "source_dataset", positive: str = POSITIVE, decoys: Sequence[str] = DECOYS, test_share: float = 0.2, num_trees: int = 600) -> tuple[DataFrame, DataFrame]:

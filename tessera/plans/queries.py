@@ -12,11 +12,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.bits import common, ones, sign_bits
-from tessera.functions.columns import to_bit, to_number
+from tessera.functions.columns import numeric_features, sigmoid, to_bit, to_number, with_prefix, without_internal
 from tessera.operators import hardness, ingest, metrics, models, similarity, split
 from tessera.sources.files import read_table
 
 RATIO = 6
+#: Trees of the forests in the queries of whole stages (the stages' own default is 600; README).
+STAGE_TREES = 20
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +67,22 @@ def dup_value_counts(spark, d):
     return ingest.value_counts(read_table(spark, d, "documents"), "text").select(F.md5("text").alias("text_md5"), "count")
 
 
+def _sheets(spark, d):
+    """All columns of the positives' table; some identifiers are missing in some rows."""
+    given = lambda c, n: F.when(F.col("doc_id") % n > 0, c)
+    docs = read_table(spark, d, "documents")
+    return docs.select(
+        F.col("doc_id").alias("row_id"), F.concat(F.lit("E"), "doc_id").alias("Entry"), given(F.col("n_chars").cast("string"), 3).alias("Prodrugid"), given(F.col("lang"), 4).alias("Prodrug"), F.col("text").alias("SMILES"),
+        given(F.col("source"), 5).alias("PubChem"), given(F.col("lang"), 6).alias("CAS No."), F.col("source").alias("inchi"), given(F.md5("text"), 7).alias("inchi_k"), F.lit("x").alias("note"),
+    )
+
+
 def prepare_positives(spark, d):
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("SMILES"), F.col("lang").alias("Prodrug"), F.col("source").alias("inchi"))
-    return ingest.prepare_positives(docs).select(F.md5("SMILES").alias("smiles_md5"), "Prodrug", "inchi", "prodrug_label")
+    return ingest.prepare_positives(_sheets(spark, d)).drop("SMILES", "CAS No.").withColumnRenamed("Entry", "entry")
+
+
+def positives_report(spark, d):
+    return ingest.positives_report(_sheets(spark, d))
 
 
 def overlap_control(spark, d):
@@ -77,8 +92,41 @@ def overlap_control(spark, d):
 
 def numeric_coerce(spark, d):
     events = read_table(spark, d, "events")
-    raw = F.when(F.col("event_id") % 7 == 0, F.lit("n/a")).otherwise(F.concat(F.lit(" "), (F.col("event_id") % 11).cast("string"), F.lit(" ")))
-    return events.select("event_id", to_number(raw).alias("number"), to_bit(raw).alias("bit"))
+    raw = F.regexp_replace("props", r'[{}":k]', "")
+    return events.select("event_id", to_number(raw).alias("number"), to_bit(raw).alias("bit"), to_number(F.col("props")).alias("not_a_number"))
+
+
+def class_weights(spark, d):
+    rows = read_table(spark, d, "labels").select(F.col("toxic").alias("label"))
+    both = models.weigh(rows, "balanced", out="balanced").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("balanced").alias("balanced"))
+    return both.join(models.weigh(rows, "positive", out="positive").groupBy("label").agg(F.max("positive").alias("positive")), "label")
+
+
+def threshold_metrics_raw(spark, d):
+    """Scores outside [0, 1]: the threshold is 0, and the Brier score is of the scaled scores."""
+    return metrics.threshold_metrics(scores(spark, d).withColumn("s", F.col("s") * 4 - 1), ["lang"])
+
+
+def sigmoid_scores(spark, d):
+    return read_table(spark, d, "events").select("event_id", F.round(sigmoid(F.col("value") / 100), 9).alias("score"))
+
+
+def view_weights_text(spark, d):
+    w = metrics.normal_weights(3, [2, -1, 1])
+    return read_table(spark, d, "region").select("r_regionkey", metrics.weights_text(w).alias("weights"))
+
+
+def fold_mean_std_rows(spark, d):
+    t = split.stratified_folds(scores(spark, d), "y", "id")
+    by_fold = metrics.roc_auc(t, ["fold"]).join(metrics.average_precision(t, ["fold"]), "fold")
+    return metrics.mean_and_std_rows(by_fold, ["fold", "roc_auc", "ap"])
+
+
+def kept_columns(spark, d):
+    """Columns by prefix, numeric ones but for a list, and none with a leading underscore."""
+    li = read_table(spark, d, "lineitem").withColumn("_hidden", F.lit(1))
+    names = [*with_prefix(li, "l_q"), *numeric_features(without_internal(li), exclude=["l_discount"])]
+    return li.select(*dict.fromkeys(names)).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.max("l_extendedprice").alias("price"))
 
 
 def quota_allocation(spark, d):
@@ -190,7 +238,7 @@ def cross_source_matrix(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return metrics.bootstrap(scores(spark, d), times=50, batch=10)
+    return metrics.bootstrap(scores(spark, d), times=2000)
 
 
 def rank_rows(spark, d):
@@ -211,8 +259,53 @@ def _features(spark, d):
 
 
 def logreg_oof(spark, d):
-    rows = split.stratified_folds(_features(spark, d), "label", "vec_id", 3)
-    return models.out_of_fold(models.registry()["LogReg_L2"], rows, "vec_id", folds=3).select("vec_id", "label", "fold", "score")
+    return _oof(spark, d, "LogReg_L2")
+
+
+def _oof(spark, d, name):
+    rows = split.stratified_folds(_features(spark, d), "label", "vec_id")
+    return models.out_of_fold(models.registry()[name], rows, "vec_id").select("vec_id", "label", "fold", "score")
+
+
+def elastic_net_oof(spark, d):
+    return _oof(spark, d, "LogReg_ElasticNet")
+
+
+def gaussian_nb_oof(spark, d):
+    return _oof(spark, d, "GaussianNB")
+
+
+def decision_tree_oof(spark, d):
+    return _oof(spark, d, "DecisionTree")
+
+
+def soft_voting(spark, d):
+    """The mean of three members' out-of-fold scores."""
+    rows = split.stratified_folds(_features(spark, d), "label", "vec_id")
+    members = [models.out_of_fold(models.registry()[n], rows, "vec_id") for n in ("LogReg_ElasticNet", "GaussianNB", "DecisionTree")]
+    return models.soft_vote(members, "vec_id")
+
+
+def source_confusion(spark, d):
+    from tessera.plans.pipelines import domain_check
+
+    return domain_check(_features(spark, d).withColumn("source", F.concat(F.lit("d"), F.col("source"))), "vec_id", "source", ["d1", "d2", "d3"], num_trees=5)[2]
+
+
+def hard_negatives_stage(spark, d):
+    """The whole stage: similarity, out-of-fold source confidence, clusters, entropy and hardness of clusters, caps."""
+    from tessera.plans.pipelines import hard_negatives
+
+    rows = _features(spark, d).join(prints(spark, d).select("vec_id", "w"), "vec_id").withColumn("source", F.concat(F.lit("d"), F.col("source")))
+    return hard_negatives(rows, "vec_id", "w", "source", "d0", ["d1", "d2", "d3"], num_trees=STAGE_TREES).select("vec_id", "source")
+
+
+def cross_source_stage(spark, d):
+    """The whole stage: trees trained against one source's negatives, tested on the others'."""
+    from tessera.plans.pipelines import cross_source
+
+    rows = _features(spark, d).withColumn("source", F.concat(F.lit("d"), F.col("source")))
+    return cross_source(rows, "vec_id", "label", "source", "d0", ["d1", "d2", "d3"], num_trees=STAGE_TREES)[1]
 
 
 def domain_classifier_oof(spark, d):
@@ -227,6 +320,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ef_bedroc_by_source, roc_auc, average_precision, threshold_metrics, binary_metrics, early_enrichment, best_row_dedup, dup_value_counts, prepare_positives, overlap_control, numeric_coerce,
         quota_allocation, quota_test_split, quota_train, stratified_folds, hold_out, tanimoto_max_to_pos, popcounts, source_entropy, knn5_score, hard_negative_select, view_ensemble, min_max_scores,
         confusion_matrix, multiclass_metrics, macro_auc, fold_summary, cross_source_matrix, bootstrap_ci, rank_rows, lineitem_ranking, logreg_oof, domain_classifier_oof,
+        positives_report, class_weights, threshold_metrics_raw, sigmoid_scores, view_weights_text, fold_mean_std_rows, kept_columns, elastic_net_oof, gaussian_nb_oof, decision_tree_oof,
+        soft_voting, source_confusion, hard_negatives_stage, cross_source_stage,
     )
 }
 
@@ -291,12 +386,16 @@ TEST = f"""{_quota_sql(['src1', 'src2', 'src3'])}, r AS (SELECT *, row_number()
   test AS (SELECT doc_id, r.source, label FROM r LEFT JOIN quota ON quota.source = r.source, k WHERE (label = 1 AND rn <= k) OR (label = 0 AND rn <= take))"""
 
 BOOT = f"""WITH {T}, p AS (SELECT y, s, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS j, count(*) OVER (PARTITION BY y) AS nc FROM t),
-  x AS (SELECT b, p.y, CAST(('0x' || substr(md5(b || ':' || p.y || ':' || p.j), 1, 8)) AS BIGINT) % nc AS j FROM p, range(50) AS g(b)),
+  x AS (SELECT b, p.y, CAST(('0x' || substr(md5(b || ':' || p.y || ':' || p.j), 1, 8)) AS BIGINT) % nc AS j FROM p, range(2000) AS g(b)),
   z AS (SELECT b, x.y, p.s FROM x JOIN p ON p.y = x.y AND p.j = x.j), auc AS ({_auc('z', 'b')}), ap AS ({_ap('z', 'b')}), one AS (SELECT 1 AS one, * FROM t),
   pa AS ({_auc('one', 'one')}), pp AS ({_ap('one', 'one')})
   SELECT (SELECT roc_auc FROM pa) AS roc_auc, quantile_cont(roc_auc, 0.025) AS roc_auc_lo, quantile_cont(roc_auc, 0.975) AS roc_auc_hi, (SELECT ap FROM pp) AS ap,
     quantile_cont(ap, 0.025) AS ap_lo, quantile_cont(ap, 0.975) AS ap_hi, avg(roc_auc) AS auc_boot_mean FROM auc JOIN ap USING (b)"""
 
+SHEETS = r"""WITH c AS (SELECT doc_id, CASE WHEN k NOT IN ('', 'nan', 'None') THEN k END AS k, CASE WHEN doc_id % 3 > 0 THEN CAST(n_chars AS VARCHAR) END AS prodrugid, CASE WHEN doc_id % 4 > 0 THEN lang END AS prodrug,
+  CASE WHEN doc_id % 5 > 0 THEN source END AS pubchem, CASE WHEN doc_id % 6 > 0 THEN lang END AS cas, source AS inchi, CASE WHEN doc_id % 7 > 0 THEN md5(text) END AS inchi_k
+  FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS k FROM documents))"""
+
 ORACLES: dict[str, str] = {
     "ef_bedroc_by_source": f"WITH {T} {_early('t', 'source')}",
     "roc_auc": f"WITH {T} {_auc('t', 'lang')}",
@@ -307,12 +406,24 @@ ORACLES: dict[str, str] = {
     "best_row_dedup": """SELECT doc_id, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY (lang IS NOT NULL)::INT + (source IS NOT NULL)::INT + (n_chars IS NOT NULL)::INT DESC, doc_id) AS n
       FROM documents WHERE text IS NOT NULL) WHERE n = 1 UNION ALL SELECT doc_id, lang, source, n_chars FROM documents WHERE text IS NULL""",
     "dup_value_counts": "SELECT md5(text) AS text_md5, count FROM (SELECT text, count(*) AS count FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1 ORDER BY count DESC, text LIMIT 20)",
-    "prepare_positives": r"""WITH c AS (SELECT doc_id, CASE WHEN k NOT IN ('', 'nan', 'None') THEN k END AS k, lang, source FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS k, lang, source FROM documents)),
-      d AS (SELECT k, lang, source, min(doc_id) AS doc_id FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY (source IS NOT NULL)::INT DESC, doc_id) AS n FROM d)
-      SELECT md5(k) AS smiles_md5, lang AS Prodrug, source AS inchi, 1 AS prodrug_label FROM r WHERE n = 1 OR k IS NULL""",
+    "prepare_positives": rf"""{SHEETS}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY (prodrugid IS NOT NULL)::INT + (prodrug IS NOT NULL)::INT + (pubchem IS NOT NULL)::INT + (cas IS NOT NULL)::INT
+      + (inchi IS NOT NULL)::INT + (inchi_k IS NOT NULL)::INT DESC, doc_id) AS n FROM c)
+      SELECT 'E' || doc_id AS entry, prodrugid AS "Prodrugid", prodrug AS "Prodrug", pubchem AS "PubChem", inchi, inchi_k, 1 AS prodrug_label FROM r WHERE n = 1 OR k IS NULL""",
+    "positives_report": rf"""{SHEETS} SELECT (SELECT count(*) FROM documents) AS n_raw, (SELECT count(DISTINCT doc_id) FROM documents) AS n_distinct,
+      count(DISTINCT k) + count(*) FILTER (k IS NULL) AS n_prepared, count(DISTINCT k) AS n_with_key, count(*) FILTER (k IS NULL) AS n_without_key FROM c""",
+    "class_weights": """SELECT toxic AS label, count(*) AS n, (SELECT count(*) FROM labels WHERE toxic IS NOT NULL) / (CAST(2 AS DOUBLE) * count(*)) AS balanced,
+      CASE WHEN toxic = 1 THEN (SELECT count(*) FROM labels WHERE toxic = 0) / CAST(count(*) AS DOUBLE) ELSE 1.0 END AS positive FROM labels GROUP BY toxic""",
+    "threshold_metrics_raw": f"""WITH {T}, r AS (SELECT lang, y, s * 4 - 1 AS s FROM t), m AS (SELECT lang, min(s) AS lo, max(s) AS hi FROM r GROUP BY lang),
+      h AS ({_threshold("(SELECT lang, y, s + CAST(0.5 AS DOUBLE) AS s FROM r)", "lang")}), b AS (SELECT lang, avg(((s - lo) / (hi - lo) - y) * ((s - lo) / (hi - lo) - y)) AS brier FROM r JOIN m USING (lang) GROUP BY lang)
+      SELECT h.* EXCLUDE (brier), b.brier FROM h JOIN b USING (lang)""",
+    "sigmoid_scores": "SELECT event_id, round(1 / (1 + exp(-(value / 100))), 9) AS score FROM events",
+    "view_weights_text": "SELECT r_regionkey, '0.6667,0.0000,0.3333' AS weights FROM region",
+    "fold_mean_std_rows": f"""WITH {T}, f AS (SELECT *, (row_number() OVER (ORDER BY y, {DRAW.format(id='id')}, id) - 1) % 5 AS fold FROM t), a AS ({_auc('f', 'fold')}), b AS ({_ap('f', 'fold')}), j AS (SELECT * FROM a JOIN b USING (fold))
+      SELECT 'mean' AS stat, avg(fold) AS fold, avg(roc_auc) AS roc_auc, avg(ap) AS ap FROM j UNION ALL SELECT 'std', stddev_samp(fold), stddev_samp(roc_auc), stddev_samp(ap) FROM j""",
+    "kept_columns": "SELECT l_linenumber, count(*) AS n, sum(l_quantity) AS quantity, max(l_extendedprice) AS price FROM lineitem GROUP BY l_linenumber",
     "overlap_control": """WITH d AS (SELECT doc_id, source, md5(text) AS key, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS n FROM documents)
       SELECT doc_id, source FROM d WHERE key IS NULL OR (n = 1 AND (source = 'src0' OR key NOT IN (SELECT key FROM d WHERE source = 'src0' AND key IS NOT NULL)))""",
-    "numeric_coerce": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id % 11 AS DOUBLE) END AS number, CASE WHEN event_id % 7 <> 0 AND event_id % 11 > 0 THEN 1 ELSE 0 END AS bit FROM events",
+    "numeric_coerce": r"""SELECT event_id, CAST(k AS DOUBLE) AS number, CASE WHEN k > 0.5 THEN 1 ELSE 0 END AS bit, CAST(NULL AS DOUBLE) AS not_a_number FROM (SELECT event_id, CAST(regexp_extract(props, '-?[0-9]+') AS BIGINT) AS k FROM events)""",
     "quota_allocation": f"{_quota_sql([f'src{i}' for i in range(1, 6)])} SELECT source, CAST(take AS BIGINT) AS take FROM quota",
     "quota_test_split": f"{TEST} SELECT doc_id, source, label FROM test",
     "quota_train": f"{TEST} SELECT doc_id, source, label FROM l WHERE doc_id NOT IN (SELECT doc_id FROM test)",
