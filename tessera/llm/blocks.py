@@ -114,11 +114,11 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(first)
     rolled = np.zeros(len(h), U)
     inside = np.ones(len(h), bool)
-    for k in range(width):
+    for k in range(width if len(h) >= width else 0):
         rolled[: len(h) - k] = rolled[: len(h) - k] * U(0xFF51AFD7ED558CCD | 1) + h[k:]
-    inside[len(h) - width + 1 :] = False
+    inside[max(0, len(h) - width + 1) :] = False
     inside[:-1][doc[:-1] != doc[1:]] = width == 1
-    for k in range(2, width):
+    for k in range(2, min(width, len(h))):
         inside[: len(h) - k][doc[: len(h) - k] != doc[k:]] = False
     values, owner = [mix(rolled[inside])], [doc[inside]]
     for d in np.flatnonzero((count > 0) & (count < width)):

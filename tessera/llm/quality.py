@@ -71,10 +71,13 @@ class Voter:
     """The fitted space with the labelled vectors."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
+        """counts is overwritten."""
         self.labels = labels.astype(np.float64)
         self.base = float(self.labels.mean()) if len(labels) else 0.5
         self.weight = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))) + 0.2).astype(np.float32)
-        a = unit(np.log1p(counts) * self.weight)
+        a = np.log1p(counts, out=counts)  # in place: the task that fits has no room for copies
+        a *= self.weight
+        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
         rank = min(RANK, len(labels))
         # Subspace iteration: the sample is bounded, and so is this.
         q = a @ np.random.default_rng(0).standard_normal((DIMENSIONS, rank + 8)).astype(np.float32)
@@ -122,19 +125,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter:
 
 
 def score(docs: DataFrame, voter: Voter, whole: bool = False) -> DataFrame:
-    """doc_id and score of every document; if whole, row (a struct of all its columns) and score."""
+    """doc_id and score of every document; if whole, its columns by number (c0, c1 and so on) and score."""
     shared = docs.sparkSession.sparkContext.broadcast(voter)
-    kept = F.struct(*docs.columns).alias("row") if whole else F.col("doc_id")
-    given = docs.select(kept, F.coalesce("text", F.lit("")).alias("text"))
-    name, kind = given.columns[0], given.schema[0].dataType.simpleString()
+    kept = docs if whole else docs.select("doc_id", "text")
+    at, names = kept.columns.index("text"), [f"c{i}" for i in range(len(kept.columns))]
+    given = kept.toDF(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(name), pa.array(own.score(term_counts(part.column("text"))))], names=[name, "score"])
+            for part in slices(batch, names[at]):
+                scores = pa.array(own.score(term_counts(part.column(at))))
+                yield pa.RecordBatch.from_arrays([*part.columns, scores] if whole else [part.column(0), scores], names=[*names, "score"] if whole else ["doc_id", "score"])
 
-    return given.mapInArrow(run, f"{name} {kind}, score double")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema) if whole else "doc_id bigint, "
+    return given.mapInArrow(run, kinds + "score double")
 
 
 def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
