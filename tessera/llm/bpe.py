@@ -32,7 +32,7 @@ NONE = 1 << 60
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
 SHORT = 128
-CACHED_WORDS = 150_000
+CACHED_WORDS = 50_000
 
 
 def byte_letters() -> list[str]:

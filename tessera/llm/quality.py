@@ -34,6 +34,8 @@ POWER = 8
 PRIOR = 0.5
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
+#: Bytes of text hashed at once; arrays of some 80 bytes a byte are made of them.
+SLICE = 1 << 18
 
 CLASS = np.arange(256, dtype=U)
 CLASS[ord("a") : ord("z") + 1] = 1
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 terms = []
                 for row in term_counts(part.column("text")):
                     at = np.flatnonzero(row)
@@ -134,7 +136,7 @@ def score(docs: DataFrame, voter: Voter, whole: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in slices(batch, names[at]):
+            for part in slices(batch, names[at], SLICE):
                 scores = pa.array(own.score(term_counts(part.column(at))))
                 yield pa.RecordBatch.from_arrays([*part.columns, scores] if whole else [part.column(0), scores], names=[*names, "score"] if whole else ["doc_id", "score"])
 
