@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,10 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, which the cluster (in tests, the fixture) sets."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of one process (local mode, as in tests) gets a temporary folder; a cluster has none that
+    would do, and must name one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
