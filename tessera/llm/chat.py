@@ -2,7 +2,8 @@
 
 The nested field paths of a record are written in one canonical form and hashed; the hash selects a declarative mapping
 (``LAYOUTS``) from that layout to canonical turns, an array of (role, text). A table with a row for each turn is a layout
-as well: its schema is fingerprinted once, and its rows are gathered by conversation. New layouts are entries of a table.
+as well: each row is a record, mapped by its own fingerprint, and rows are gathered by conversation. New layouts are
+entries of a table.
 
 ``format_turns`` writes turns by a template with control strings and gives the spans of assistant text (the loss mask);
 control strings inside roles and texts are escaped and ``read_turns`` and ``read_loss`` undo that.
@@ -49,6 +50,7 @@ LAYOUTS = (
     Layout("instruction_input_output", "OBJECT<input: _, instruction: _, output: _>", turns=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Layout("question_answer", "OBJECT<answer: _, question: _>", turns=(("user", ("question",)), ("assistant", ("answer",)))),
     Layout("row_per_turn", "OBJECT<conv_id: _, role: _, text: _, turn: _>", rows=("conv_id", "turn", "role", "text")),
+    Layout("row_per_message", "OBJECT<content: _, index: _, role: _, session_id: _>", rows=("session_id", "index", "role", "content")),
 )
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -72,7 +74,7 @@ def layout_of(kind: T.StructType) -> Layout:
 
 def record_fingerprint(record: Column) -> Column:
     """Of a variant: the hash of its nested field paths."""
-    return F.sha2(F.regexp_replace(F.schema_of_variant(record), r"(: |ARRAY<)(?!OBJECT<|ARRAY<)[A-Z]+(\([0-9, ]*\))?", "$1_"), 256)
+    return F.sha2(F.regexp_replace(F.schema_of_variant(record), r"(: |ARRAY<)(?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]*\))?", "$1_"), 256)
 
 
 def records_to_turns(records: DataFrame, column: str) -> DataFrame:
@@ -98,15 +100,33 @@ def _role(x: Column) -> Column:
     return x
 
 
+def rows_to_turns(records: DataFrame, column: str, conv: str = "bigint", turn: str = "bigint") -> DataFrame:
+    """layout, conv_id, turn, role and text of variants in column that hold a turn each, by the mapping that each one's
+    fingerprint selects. conv and turn are the types of the first two. A record of another layout keeps a row of nulls."""
+    kinds = {"conv_id": conv, "turn": turn, "role": "string", "text": "string"}
+    marked = records.select(F.col(column).alias("record"), record_fingerprint(F.col(column)).alias("mark"))
+    name, taken = F.lit(None).cast("string"), {n: F.lit(None).cast(k) for n, k in kinds.items()}
+    for layout in (x for x in LAYOUTS if x.rows):
+        same = F.col("mark") == layout.fingerprint
+        name = F.when(same, F.lit(layout.name)).otherwise(name)
+        for (n, kind), field in zip(kinds.items(), layout.rows):
+            taken[n] = F.when(same, F.try_variant_get("record", f"$.{field}", kind)).otherwise(taken[n])
+    return marked.select(name.alias("layout"), *(c.alias(n) for n, c in taken.items()))
+
+
 def gather_turns(rows: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
-    """conv_id, chunk, turns of a table whose fingerprint is that of a row for each turn."""
+    """conv_id, chunk, turns of a table with a row for each turn; each row is mapped by its own fingerprint.
+
+    A table whose schema has no such layout is refused, since all of its rows would be unknown.
+    """
     layout = layout_of(rows.schema)
     if not layout.rows:
         raise ValueError(f"{layout.name} has no row for each turn")
-    conv, turn, role, text = layout.rows
-    one = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    chunk = F.coalesce(F.floor(F.col(turn) / chunk_turns), F.lit(-(2**62)))
-    gathered = rows.groupBy(F.col(conv).alias("conv_id"), chunk.alias("chunk")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    types = (rows.schema[field].dataType.simpleString() for field in layout.rows[:2])
+    mapped = rows_to_turns(rows.select(F.to_variant_object(F.struct(*rows.columns)).alias("record")), "record", *types)
+    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    chunk = F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(-(2**62)))
+    gathered = mapped.groupBy("conv_id", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
     return gathered.withColumn("turns", F.transform("turns", lambda x: F.struct(x["role"], x["text"])))
 
 

@@ -91,6 +91,18 @@ def test_layouts(spark):
     assert all([tuple(t) for t in r["turns"]] == [("user", "a"), ("assistant", "b")] for r in got[:4])
 
 
+def test_rows_of_several_layouts(spark):
+    rows = ['{"conv_id": 1, "turn": 0, "role": "user", "text": "a"}', '{"session_id": 2, "index": 5, "role": null, "content": "b"}', '{"text": null, "turn": null, "role": "user", "conv_id": null}', '{"conv_id": 3, "text": "no role"}', "[1]", None]
+    records = spark.createDataFrame([(r,) for r in rows], "raw string").select(F.try_parse_json("raw").alias("record"))
+    got = [tuple(r) for r in chat.rows_to_turns(records, "record").collect()]
+    assert got == [("row_per_turn", 1, 0, "user", "a"), ("row_per_message", 2, 5, None, "b"), ("row_per_turn", None, None, "user", None), *[(None,) * 5] * 3]
+    table = spark.createDataFrame([("s1", 1, "user", "x"), ("s1", 0, "user", "y" * 200_000)], "session_id string, index int, role string, content string")
+    got = chat.gather_turns(table).collect()
+    assert [(r["conv_id"], [len(t["text"]) for t in r["turns"]]) for r in got] == [("s1", [200_000, 1])]
+    with pytest.raises(ValueError):
+        chat.gather_turns(table.drop("role"))
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     r = random.Random(2)
