@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, bpe, chat, fingerprint, lines, merkle, minhash, mixing, quality, repeats, toxicity
+from tessera.llm import ann, bpe, chat, codebooks, fingerprint, lines, merkle, minhash, mixing, quality, repeats, toxicity
 from tessera.llm.common import table
 
 
@@ -60,9 +60,13 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op12_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.op13_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.OP2_SQL, "op4_minhash": minhash.OP4_SQL, "op12_manifest": merkle.OP12_SQL}
+    return {"op2_chat": chat.OP2_SQL, "op4_minhash": minhash.OP4_SQL, "op12_manifest": merkle.OP12_SQL, "op13_codes": codebooks.OP13_SQL}
