@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, bpe, chat, codebooks, fingerprint, lines, merkle, minhash, mixing, quality, repeats, toxicity
+from tessera.llm import ann, bpe, chat, codebooks, credentials, fingerprint, lines, merkle, minhash, mixing, quality, repeats, toxicity
 from tessera.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op10_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.op11_credentials(table(spark, sf_dir, "documents"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op12_manifest(table(spark, sf_dir, "documents"))
 
@@ -69,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.OP2_SQL, "op4_minhash": minhash.OP4_SQL, "op12_manifest": merkle.OP12_SQL, "op13_codes": codebooks.OP13_SQL}
+    return {"op2_chat": chat.OP2_SQL, "op4_minhash": minhash.OP4_SQL, "op11_credentials": credentials.OP11_SQL, "op12_manifest": merkle.OP12_SQL, "op13_codes": codebooks.OP13_SQL}
