@@ -53,7 +53,7 @@ KINDS = (
     Kind("hex", "", r"[0-9a-f]{16,}", strong=True),
     Kind("identifier", "id", rf"({_words('username', 'user', 'login', 'account')}|{any_case('client')}_?{any_case('id')}|{any_case('access')}_?{any_case('key')}(_?{any_case('id')})?){IS}([A-Za-z0-9@._+-]+)", 3, 3),
     Kind("short", "secret", rf"({_words('password', 'passwd', 'passphrase', 'pwd', 'secret', 'token')}|{any_case('api')}_?{any_case('key')}){IS}([!-~]+)", 4, 2),
-    Kind("endpoint", "endpoint", rf"([a-z][a-z0-9+]*://[A-Za-z0-9._@:-]+|({_words('host', 'endpoint', 'server')}){IS}[A-Za-z0-9._:-]+)", 8),
+    Kind("endpoint", "endpoint", rf"([a-z][a-z0-9+]{{1,15}}://[A-Za-z0-9._@:-]+|({_words('host', 'endpoint', 'server')}){IS}[A-Za-z0-9._:-]+)", 8),
 )
 ORDER = [k.name for k in KINDS]
 STRONG = [k.name for k in KINDS if k.strong]

@@ -178,7 +178,7 @@ def _sql(most: int = 14) -> str:
     bits = "flatten(list_transform(range(1, len(d) + 1), lambda i: [ascii(d[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
     crc = f"list_reduce({bits}, lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384), 4294967295::BIGINT)"
     out = [
-        f"docs AS (SELECT *, coalesce(doc_id::VARCHAR, '') AS d, {leaf('text')} AS leaf FROM documents)",
+        f"docs AS (SELECT {', '.join(FIELDS)}, coalesce(doc_id::VARCHAR, '') AS d, {leaf('text')} AS leaf FROM documents)",
         f"rows_ AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, leaf) AS r, CASE WHEN ({crc} & 1) = 1 THEN {leaf("replace(text, chr(10), '')")} ELSE leaf END AS tampered FROM docs)",
         "a0 AS (SELECT r, source, row_number() OVER (PARTITION BY source ORDER BY r) - 1 AS p, count(*) OVER (PARTITION BY source) AS n, leaf AS h FROM rows_)",
         *_levels("a", "source", most),
