@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -115,3 +115,8 @@ def min_max(df: DataFrame, column: str, groups: Sequence[str], out: str) -> Data
     width = F.col("_most") - F.col("_least")
     joined = df.join(bounds, list(groups)) if groups else df.crossJoin(F.broadcast(bounds))  # one row
     return joined.withColumn(out, F.when(width > 0, (F.col(column) - F.col("_least")) / width).otherwise(F.when(F.col(column).isNotNull(), F.lit(0.0)))).drop("_least", "_most")
+
+
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of value computed once: what a lambda refers to would else be computed again for each of its elements."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))

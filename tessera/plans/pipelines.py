@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.columns import clean_key, require, require_rows
-from tessera.operators import chem, hardness, ingest, metrics, models, similarity, split
+from tessera.operators import chem, hardness, ingest, metrics, models, similarity, split, structures
 
 #: Default names of the positive source and of the negatives' sources.
 POSITIVE = "prodrug"
@@ -26,8 +26,9 @@ def overlap(df: DataFrame, key: str = "inchikey", source: str = "source_dataset"
     return ingest.overlap_control(df.withColumn("_block", ingest.connectivity(F.col(key))), "_block", source, positive, row_id).drop("_block")
 
 
-def fingerprints(df: DataFrame, structure: str = "smiles", factory=chem.rdkit_fingerprints) -> DataFrame:
-    return chem.add_fingerprints(df, structure, factory)
+def fingerprints(df: DataFrame, structure: str = "smiles", factory=None) -> DataFrame:
+    """Adds fp_valid, circular and keys by this library's own parser, or a provider's bits where a factory is given."""
+    return chem.add_fingerprints(df, structure, factory) if factory else structures.add_fingerprints(df, structure)
 
 
 def isolate_test(df: DataFrame, label: str = "label", domain: str = "source_dataset", decoys: Sequence[str] = DECOYS, row_id: str = "row_id", **more) -> tuple[DataFrame, DataFrame, dict]:

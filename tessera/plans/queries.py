@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.functions.bits import common, ones, sign_bits
 from tessera.functions.columns import numeric_features, sigmoid, to_bit, to_number, with_prefix, without_internal
 from tessera.operators import hardness, ingest, metrics, models, similarity, split
+from tessera.plans import molecules
 from tessera.sources.files import read_table
 
 RATIO = 6
@@ -459,3 +460,6 @@ ORACLES: dict[str, str] = {
     "lineitem_ranking": f"""WITH t AS (SELECT l_returnflag AS flag, l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS y, (l_partkey % 1009) / CAST(1009 AS DOUBLE) AS s FROM lineitem),
       a AS ({_auc('t', 'flag')}), b AS ({_early('t', 'flag')}) SELECT * FROM a JOIN b USING (flag)""",
 }
+
+QUERIES |= molecules.QUERIES
+ORACLES |= molecules.ORACLES
