@@ -206,7 +206,7 @@ def test_credentials(spark, tmp_path):
     got = credentials.op11_credentials(docs)
     assert rows_of(got) == want
     said = {r["doc_id"]: r["spans"] for r in got.collect() if r["doc_id"]}
-    assert said[2] == said[9] == said[11] == "" and said[10] == "identifier:175:187,short:368:379"
+    assert said[2] == said[9] == said[11] == "" and said[10] == "identifier:175:187,short:369:380"
     names, sql = by_sql(spark, docs, "documents", oracle_sql()["op11_credentials"], f"{tmp_path}/docs")
     assert names == got.columns and sql == want
 
