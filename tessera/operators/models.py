@@ -23,6 +23,7 @@ from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.columns import sigmoid
+from tessera.operators import boosting
 from tessera.operators.similarity import nearest_share
 from tessera.operators.split import stratified_folds
 
@@ -65,6 +66,9 @@ def registry(num_trees: int | None = None) -> dict[str, Entry]:
         "Bagging": Entry(_trees(t(300), featureSubsetStrategy="all")),
         "Voting": Entry(lambda d, rows: Voting({"RandomForest": Entry(_trees(t(300)), "balanced"), **{n: registry(num_trees)[n] for n in ("SVM_RBF", "LogReg_ElasticNet")}})),
         "MLP": Entry(lambda d, rows: C.MultilayerPerceptronClassifier(layers=[d, 200, 2], maxIter=1000, seed=SEED)),
+        "LevelBoosting": Entry(lambda d, rows: boosting.level_wise(t(800)), "positive"),
+        "LeafBoosting": Entry(lambda d, rows: boosting.leaf_wise(t(1200)), "positive"),
+        "OrderedBoosting": Entry(lambda d, rows: boosting.ordered(t(1500)), "positive"),
         "XGBoost": Entry(lambda d, rows: importlib.import_module("xgboost.spark").SparkXGBClassifier(n_estimators=800, max_depth=6, learning_rate=0.03, subsample=0.8), "positive", "xgboost"),
         "LightGBM": Entry(lambda d, rows: importlib.import_module("synapse.ml.lightgbm").LightGBMClassifier(numIterations=1200, numLeaves=64), "positive", "synapse"),
         "CatBoost": Entry(lambda d, rows: importlib.import_module("catboost_spark").CatBoostClassifier(iterations=1500, depth=6), "positive", "catboost_spark"),

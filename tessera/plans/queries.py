@@ -20,6 +20,8 @@ from tessera.sources.files import read_table
 RATIO = 6
 #: Trees of the forests in the queries of whole stages (the stages' own default is 600; README).
 STAGE_TREES = 20
+#: Trees of the boosters' queries (the entries' own default is 800 to 1500; README).
+BOOSTED_TREES = 8
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
@@ -280,6 +282,25 @@ def decision_tree_oof(spark, d):
     return _oof(spark, d, "DecisionTree")
 
 
+def _boosted(spark, d, name):
+    """Scores of all rows by BOOSTED_TREES trees that haven't seen fold 0."""
+    rows = split.stratified_folds(_features(spark, d), "label", "vec_id")
+    model = models.fit(models.registry(BOOSTED_TREES)[name], rows.filter("fold > 0"))
+    return models.score_column(model.transform(rows)).select("vec_id", "label", "fold", "score")
+
+
+def level_boosting(spark, d):
+    return _boosted(spark, d, "LevelBoosting")
+
+
+def leaf_boosting(spark, d):
+    return _boosted(spark, d, "LeafBoosting")
+
+
+def ordered_boosting(spark, d):
+    return _boosted(spark, d, "OrderedBoosting")
+
+
 def soft_voting(spark, d):
     """The mean of three members' out-of-fold scores."""
     rows = split.stratified_folds(_features(spark, d), "label", "vec_id")
@@ -322,7 +343,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quota_allocation, quota_test_split, quota_train, stratified_folds, hold_out, tanimoto_max_to_pos, popcounts, source_entropy, knn5_score, hard_negative_select, view_ensemble, min_max_scores,
         confusion_matrix, multiclass_metrics, macro_auc, fold_summary, cross_source_matrix, bootstrap_ci, rank_rows, lineitem_ranking, logreg_oof, domain_classifier_oof,
         positives_report, class_weights, threshold_metrics_raw, sigmoid_scores, view_weights_text, fold_mean_std_rows, kept_columns, elastic_net_oof, gaussian_nb_oof, decision_tree_oof,
-        soft_voting, source_confusion, hard_negatives_stage, cross_source_stage,
+        soft_voting, source_confusion, hard_negatives_stage, cross_source_stage, level_boosting, leaf_boosting, ordered_boosting,
     )
 }
 
