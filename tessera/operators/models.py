@@ -23,7 +23,7 @@ from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.columns import sigmoid
-from tessera.operators import boosting
+from tessera.operators import boosting, randomtrees
 from tessera.operators.similarity import nearest_share
 from tessera.operators.split import stratified_folds
 
@@ -47,8 +47,7 @@ def _trees(n: int, **more) -> Callable[[int, int], Estimator]:
 def registry(num_trees: int | None = None) -> dict[str, Entry]:
     """Name to entry. num_trees replaces every forest's size, for quick runs.
 
-    Penalties: C = 1 of n weighted rows is regParam 1 / n. On 0/1 features a random threshold parts the same rows as any
-    other, so that a forest without resampling has the trees of extremely randomised ones.
+    Penalties: C = 1 of n weighted rows is regParam 1 / n.
     """
     t = lambda n: num_trees or n
     linear = lambda net: lambda d, rows: C.LogisticRegression(regParam=1 / max(1, rows), elasticNetParam=net, maxIter=2000, standardization=False)
@@ -59,8 +58,8 @@ def registry(num_trees: int | None = None) -> dict[str, Entry]:
         "GaussianNB": Entry(lambda d, rows: C.NaiveBayes(modelType="gaussian")),
         "DecisionTree": Entry(lambda d, rows: C.DecisionTreeClassifier(maxDepth=30, seed=SEED), "balanced"),
         "RandomForest": Entry(_trees(t(400)), "balanced"),
-        "ExtraTrees": Entry(_trees(t(100), bootstrap=False, minInstancesPerNode=4), "balanced"),
-        "SourceTrees": Entry(_trees(t(600), bootstrap=False)),
+        "ExtraTrees": Entry(lambda d, rows: randomtrees.ExtraTrees(t(100), min_split=7), "balanced"),
+        "SourceTrees": Entry(lambda d, rows: randomtrees.ExtraTrees(t(600))),
         "GradientBoosting": Entry(lambda d, rows: C.GBTClassifier(maxIter=t(100), maxDepth=3, stepSize=0.1, seed=SEED), "positive"),
         "AdaBoost": Entry(lambda d, rows: AdaBoost(rounds=t(50)), "positive"),
         "Bagging": Entry(_trees(t(300), featureSubsetStrategy="all")),
