@@ -10,8 +10,8 @@ Equal vectors are one entry with its ``k + 1`` smallest ids: ties go to smaller
 may be the query itself). A list longer than ``LIST_ROWS`` is read in parts by several tasks. Scores are cosines in
 double precision of the original vectors.
 
-Null and zero vectors and those with null or non-finite components take no part, nor do null ids; so do vectors of another
-length than the most frequent one. Equal ids with different vectors are candidates one by one. With fewer candidates than
+Null and zero vectors and those with null or non-finite components take no part, nor do null ids. Vectors meet those of their
+own length. Rows of one id are one candidate and one query, whose nearest pair counts. With fewer candidates than
 k, all found are returned. If the lists read hold fewer than k, the query reads all lists. Empty tables give no rows.
 """
 
@@ -121,9 +121,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """id, vector array<double> of rows that take part."""
     v = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     fine = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
-    v = v.filter(F.col("id").isNotNull() & F.col("vector").isNotNull()).filter(fine)
-    width = v.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return v.filter(F.size("vector") == (width[0] if width else 0))
+    return v.filter(F.col("id").isNotNull() & F.col("vector").isNotNull()).filter(fine)
 
 
 def assigned(rows: DataFrame, lists, method: str) -> DataFrame:
@@ -144,10 +142,28 @@ def assigned(rows: DataFrame, lists, method: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
-    """query_id, rank, vec_id, score: k nearest of each row for which is_query (of id) holds."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark)
+    """query_id, rank, vec_id, score: k nearest of each id for which is_query holds.
+
+    Vectors are compared with those of their own length: each length has lists of its own. Rows of one id are one vector with
+    several places: the nearest of them counts.
+    """
+    scratch = Scratch(vectors.sparkSession)
     rows = scratch.keep(usable(vectors))
+    lengths = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())  # a row for each length
+    found = [_nearest_alike(scratch, rows.filter(F.size("vector") == n) if len(lengths) > 1 else rows, is_query, k) for n in lengths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionAll(f)
+    best = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _nearest_alike(scratch: Scratch, rows: DataFrame, is_query, k: int) -> DataFrame:
+    """query_id, vec_id, score: candidates, the k nearest among them, for rows of one length."""
+    spark = rows.sparkSession
     by_id = F.array_sort(F.collect_set("id"))
     # k + 1 smallest ids of equal vectors; ids are numbered in two steps so that no group is gathered whole.
     keyed = rows.withColumn("same", F.xxhash64("vector"))
@@ -156,9 +172,6 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
     entries = scratch.keep(few.groupBy("same", "vector").agg(F.slice(by_id, 1, k + 1).alias("ids")).select("same", "vector", "ids"))
     total = entries.count()
     sample = entries.orderBy("same").limit(SAMPLE).select("vector").collect()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not total:
-        return spark.createDataFrame([], schema)
     lists = spark.sparkContext.broadcast(Lists(np.array([r[0] for r in sample]), total))
     posted = scratch.keep(assigned(entries.select("vector", "ids"), lists, "post"))
     asked = scratch.keep(assigned(rows.filter(is_query(F.col("id"))).select("id", "vector"), lists, "probe"))
@@ -170,8 +183,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
     if not short.isEmpty():
         every = F.explode(F.sequence(F.lit(0), F.lit(len(lists.value.centroids) - 1)))
         found = found.unionAll(_answers(posted, short.withColumn("list", every), parts, k))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found
 
 
 def _answers(posted: DataFrame, asked: DataFrame, parts: DataFrame, k: int) -> DataFrame:

@@ -13,7 +13,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     """doc_id, text, label of at most sizes[value] rows of each label value where train holds, least hashes of doc_id first.
 
     Rows of labels with a null doc_id or label are left out; of several rows for a document the largest label counts, and
-    of several documents with one id each is taken.
+    of several documents with one id the least text.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(label).alias("label"))
     parts = [known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for value, n in sizes.items()]
@@ -21,7 +21,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     for part in parts[1:]:
         chosen = chosen.unionAll(part)
     # As many rows as sizes says, whatever the input.
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def label_counts(labels: DataFrame, label: str, train: Column) -> dict[int, int]:
