@@ -110,10 +110,17 @@ def first_of(df: DataFrame, names: Sequence[str], chosen: str | None = None) ->
 
 
 def min_max(df: DataFrame, column: str, groups: Sequence[str], out: str) -> DataFrame:
-    """Scores scaled to [0, 1] by group; a constant group gets 0. One small aggregate is joined back, no window is needed."""
-    bounds = df.groupBy(*groups).agg(F.min(column).alias("_least"), F.max(column).alias("_most"))
+    """Scores scaled to [0, 1] by group; a constant group gets 0. One small aggregate is joined back, no window is needed.
+
+    NaN says nothing of a group's bounds and stays NaN (0 in a constant group); null stays null.
+    """
+    known = F.when(~F.isnan(F.col(column).cast("double")), F.col(column))
+    bounds = df.groupBy(*(F.col(g).alias(f"_{g}") for g in groups)).agg(F.min(known).alias("_least"), F.max(known).alias("_most"))
     width = F.col("_most") - F.col("_least")
-    joined = df.join(bounds, list(groups)) if groups else df.crossJoin(F.broadcast(bounds))  # one row
+    same = F.lit(True)
+    for g in groups:
+        same = same & df[g].eqNullSafe(bounds[f"_{g}"])
+    joined = (df.join(bounds, same) if groups else df.crossJoin(F.broadcast(bounds))).drop(*(f"_{g}" for g in groups))  # one row without groups
     return joined.withColumn(out, F.when(width > 0, (F.col(column) - F.col("_least")) / width).otherwise(F.when(F.col(column).isNotNull(), F.lit(0.0)))).drop("_least", "_most")
 
 

@@ -1,7 +1,7 @@
-"""Running sums and ranks in two levels, so that one large group is not one task.
+"""Running sums and ranks in two levels, so that one large group, one common score or a narrow range isn't one task.
 
-Rows are filed into slots that follow the order (floor of the order's leading number times ``SLOTS``); sums of slots are
-accumulated over the few slots, and rows only inside their slot.
+Rows are dealt by ranges of (groups, order, ties), whose bounds Spark samples from the rows themselves, and written; sums of ranges
+are accumulated over the few ranges, and rows only inside their range.
 """
 
 from __future__ import annotations
@@ -10,20 +10,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLOTS = 1024
+from tessera.sources.shared import written
 
 
 def running_sums(df: DataFrame, groups: Sequence[str], by: str, sums: dict[str, str], descending: bool = False, ties: Sequence[str | Column] = ()) -> DataFrame:
-    """Adds for each (out: column) of sums the sum over rows up to and with each row, in the order of by and ties. Nulls of by come last."""
-    sign = -1 if descending else 1
-    filed = df.withColumn("_slot", F.when(F.col(by).isNull(), 2**62).otherwise(F.floor(F.least(F.greatest(F.col(by) * (SLOTS * sign), F.lit(-9e15)), F.lit(9e15)))))
-    totals = filed.groupBy(*groups, "_slot").agg(*(F.sum(c).alias(f"_{o}") for o, c in sums.items()))
-    earlier = Window.partitionBy(*groups).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*groups, "_slot", *(F.coalesce(F.sum(f"_{o}").over(earlier), F.lit(0)).alias(f"_{o}") for o in sums))
+    """Adds for each (out: column) of sums the sum over rows up to and with each row, in the order of by and ties. Nulls of by come
+    last; what is equal in all of these is in the order of the input's row numbers."""
     first = F.desc_nulls_last(by) if descending else F.asc_nulls_last(by)
-    inside = Window.partitionBy(*groups, "_slot").orderBy(first, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    joined = filed.withColumns({o: F.sum(c).over(inside) for o, c in sums.items()}).join(before, [*groups, "_slot"])
-    return joined.withColumns({o: F.col(o) + F.col(f"_{o}") for o in sums}).drop("_slot", *(f"_{o}" for o in sums))
+    order = [first, *(F.col(t) if isinstance(t, str) else t for t in ties), F.col("_row")]
+    dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*(F.col(g) for g in groups), *order)
+    kept = written(dealt.withColumn("_range", F.spark_partition_id()))
+    totals = kept.groupBy(*(F.col(g).alias(f"_in_{i}") for i, g in enumerate(groups)), F.col("_range").alias("_of")).agg(*(F.sum(c).alias(f"_{o}") for o, c in sums.items()))
+    earlier = Window.partitionBy(*(f"_in_{i}" for i in range(len(groups)))).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = totals.select(*(f"_in_{i}" for i in range(len(groups))), "_of", *(F.coalesce(F.sum(f"_{o}").over(earlier), F.lit(0)).alias(f"_{o}") for o in sums))
+    inside = Window.partitionBy("_range", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_range") == F.col("_of")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_in_{i}"))
+    joined = kept.withColumns({o: F.sum(c).over(inside) for o, c in sums.items()}).join(before, same)
+    return joined.withColumns({o: F.col(o) + F.col(f"_{o}") for o in sums}).drop("_row", "_range", "_of", *(f"_in_{i}" for i in range(len(groups))), *(f"_{o}" for o in sums))
 
 
 def ranked(df: DataFrame, groups: Sequence[str], by: str, tie: str, out: str = "rank") -> DataFrame:

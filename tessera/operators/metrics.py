@@ -189,5 +189,12 @@ def view_ensemble(scores: DataFrame, weights: dict[str, float], keys: Sequence[s
     return scores.withColumn("_w", w).filter(F.col("_w").isNotNull()).groupBy(*keys).agg(ratio(F.sum(F.col("_w") * F.col(s)), F.sum("_w")).alias(s))
 
 
-def weights_text(weights: Sequence[float]) -> Column:
-    return F.concat_ws(",", *(F.format_string("%.4f", F.lit(float(w))) for w in weights))
+def normal_columns(weights: Sequence[Column]) -> list[Column]:
+    """The same as normal_weights() for weights that stand in columns; null counts as 0."""
+    kept = [F.greatest(F.coalesce(w.cast("double"), F.lit(0.0)), F.lit(0.0)) for w in weights]
+    total = sum(kept[1:], kept[0])
+    return [F.when(total > 0, w / total).otherwise(1.0 / len(kept)) for w in kept]
+
+
+def weights_text(weights: Sequence[float | Column]) -> Column:
+    return F.concat_ws(",", *(F.format_string("%.4f", w if isinstance(w, Column) else F.lit(float(w))) for w in weights))

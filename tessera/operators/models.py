@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml import classification as C
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Imputer, MinMaxScaler, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.sql import DataFrame, functions as F
@@ -26,6 +26,7 @@ from tessera.functions.columns import sigmoid
 from tessera.operators import boosting, randomtrees
 from tessera.operators.similarity import nearest_share
 from tessera.operators.split import stratified_folds
+from tessera.sources.shared import written
 
 log = logging.getLogger(__name__)
 SEED = 42
@@ -63,7 +64,9 @@ def registry(num_trees: int | None = None) -> dict[str, Entry]:
         "GradientBoosting": Entry(lambda d, rows: C.GBTClassifier(maxIter=t(100), maxDepth=3, stepSize=0.1, seed=SEED), "positive"),
         "AdaBoost": Entry(lambda d, rows: AdaBoost(rounds=t(50)), "positive"),
         "Bagging": Entry(_trees(t(300), featureSubsetStrategy="all")),
-        "Voting": Entry(lambda d, rows: Voting({"RandomForest": Entry(_trees(t(300)), "balanced"), **{n: registry(num_trees)[n] for n in ("SVM_RBF", "LogReg_ElasticNet")}})),
+        "Voting": Entry(lambda d, rows: Voting(voters(num_trees))),
+        "KNN": Entry(lambda d, rows: Neighbours()),
+        "Stacking": Entry(lambda d, rows: Stacking(voters(num_trees))),
         "MLP": Entry(lambda d, rows: C.MultilayerPerceptronClassifier(layers=[d, 200, 2], maxIter=1000, seed=SEED)),
         "LevelBoosting": Entry(lambda d, rows: boosting.level_wise(t(800)), "positive"),
         "LeafBoosting": Entry(lambda d, rows: boosting.leaf_wise(t(1200)), "positive"),
@@ -74,6 +77,11 @@ def registry(num_trees: int | None = None) -> dict[str, Entry]:
     }
 
 
+def voters(num_trees: int | None = None) -> dict[str, Entry]:
+    """The members of voting and stacking."""
+    return {"RandomForest": Entry(_trees(num_trees or 300), "balanced"), **{n: registry(num_trees)[n] for n in ("SVM_RBF", "LogReg_ElasticNet")}}
+
+
 def available(entries: dict[str, Entry]) -> dict[str, Entry]:
     """Entries whose libraries are installed; the others are named in a warning."""
     found = {n: e for n, e in entries.items() if not e.needs or importlib.util.find_spec(e.needs)}
@@ -104,15 +112,48 @@ def score_column(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.col("prediction").cast("double"))
 
 
-def prepare(columns: Sequence[str], scale: str = "minmax") -> Pipeline:
-    """Median imputation and scaling of numeric columns into features. A constant column is 0.5 after Spark's min-max."""
-    filled = [f"_{c}_filled" for c in columns]
-    stages: list = [Imputer(strategy="median", inputCols=list(columns), outputCols=filled, relativeError=1e-4), VectorAssembler(inputCols=filled, outputCol="_raw" if scale else "features")]
-    if scale == "minmax":
-        stages.append(MinMaxScaler(inputCol="_raw", outputCol="features"))
-    elif scale == "standard":
-        stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=False))
-    return Pipeline(stages=stages)
+class FeatureScaler(Estimator):
+    """Median imputation of NaN, then scaling of each feature: minmax to [0, 1], or standard to mean 0 and deviation 1. A constant
+    feature becomes 0, as does one that is NaN throughout.
+
+    Medians are exact: their state holds a feature's distinct values. With ``exact=False`` they are Spark's approximate ones, whose
+    state is bounded.
+    """
+
+    def __init__(self, how: str = "minmax", exact: bool = True):
+        super().__init__()
+        self.how, self.exact = how, exact
+
+    def _fit(self, df: DataFrame) -> ScaledFeatures:
+        x = F.when(~F.isnan("x"), F.col("x"))
+        half = F.percentile(x, F.lit(0.5)) if self.exact else F.percentile_approx(x, 0.5, 100_000)
+        each = df.select(F.posexplode(vector_to_array("features")).alias("i", "x")).groupBy("i")
+        found = each.agg(half.alias("median"), F.min(x).alias("least"), F.max(x).alias("most"), F.count(x).alias("n"), F.count(F.lit(1)).alias("all"), F.avg(x).alias("mean"), F.var_pop(x).alias("spread")).collect()
+        rows = sorted(found, key=lambda r: r["i"])  # a row for each feature
+        column = lambda name: np.array([r[name] if r[name] is not None else 0.0 for r in rows], np.float64)
+        median, least, most, n, every, mean, spread = map(column, ("median", "least", "most", "n", "all", "mean", "spread"))
+        if self.how == "minmax":
+            return ScaledFeatures(median, least, most - least)
+        share = n / np.maximum(every, 1)  # the others are the median after imputation
+        whole = share * mean + (1 - share) * median
+        variance = share * (spread + (mean - whole) ** 2) + (1 - share) * (median - whole) ** 2
+        return ScaledFeatures(median, whole, np.sqrt(np.maximum(variance, 0)))
+
+
+class ScaledFeatures(Transformer):
+    def __init__(self, median: np.ndarray, shift: np.ndarray, width: np.ndarray):
+        super().__init__()
+        self.median, self.shift, self.width = median, shift, width
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        median, shift, width = self.median, self.shift, np.where(self.width > 0, self.width, np.inf)
+
+        @F.pandas_udf("array<double>")
+        def scale(v: pd.Series) -> pd.Series:
+            x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, len(median)))
+            return pd.Series(list((np.where(np.isnan(x), median, x) - shift) / width))
+
+        return df.withColumn("features", array_to_vector(scale(vector_to_array("features"))))
 
 
 def view(df: DataFrame, positions: Sequence[int] | None, column: str = "features") -> DataFrame:
@@ -121,8 +162,12 @@ def view(df: DataFrame, positions: Sequence[int] | None, column: str = "features
     return VectorSlicer(inputCol=column, outputCol="_view", indices=list(positions)).transform(df).drop(column).withColumnRenamed("_view", column)
 
 
-def fit(entry: Entry, train: DataFrame, label: str = "label") -> Model:
-    """The entry's model on features and label; rows weighed as it says, if it can."""
+def fit(entry: Entry, train: DataFrame, label: str = "label", scale: str | None = None) -> Model:
+    """The entry's model on features and label; rows weighed as it says, if it can. With scale (minmax, standard) features are imputed
+    and scaled by what these rows say, and the model does the same to what it is asked."""
+    if scale:
+        scaler = FeatureScaler(scale).fit(train)
+        return Chain([scaler, fit(entry, scaler.transform(train), label)])
     weighed = weigh(train, entry.weights, label).cache()
     try:
         size = weighed.agg(F.count(F.lit(1)), F.max(F.size(vector_to_array("features")))).first()
@@ -222,6 +267,73 @@ class Voting(Estimator):
         return Voted([fit(entry, rows, self.label) for entry in self.members.values()])
 
 
+class Neighbours(Estimator):
+    """Nearest neighbours: the share of label 1 among the k nearest training rows."""
+
+    def __init__(self, k: int = 5):
+        super().__init__()
+        self.k, self.label = k, "label"
+
+    def setLabelCol(self, name: str) -> Neighbours:  # noqa: N802
+        self.label = name
+        return self
+
+    def _fit(self, df: DataFrame) -> NearestRows:
+        rows = df.select((-1 - F.monotonically_increasing_id()).alias("_asked"), vector_to_array("features").alias("_v"), F.col(self.label).alias("_y"))
+        return NearestRows(written(rows), self.k)
+
+
+class NearestRows(Transformer):
+    def __init__(self, rows: DataFrame, k: int):
+        super().__init__()
+        self.rows, self.k = rows, k
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        asked = written(df.withColumn("_asked", F.monotonically_increasing_id()))
+        near = nearest_share(asked.select("_asked", vector_to_array("features").alias("_v")), self.rows, "_asked", "_v", "_y", self.k).withColumnRenamed("score", "_p")
+        p = F.coalesce("_p", F.lit(0.0))
+        return asked.join(near, "_asked", "left").withColumns({"probability": array_to_vector(F.array(1 - p, p)), "prediction": (p > 0.5).cast("double")}).drop("_asked", "_p")
+
+
+class Stacking(Estimator):
+    """A logistic regression over the members' out-of-fold scores and the features themselves; the members are fitted on all rows."""
+
+    def __init__(self, members: dict[str, Entry], folds: int = 5):
+        super().__init__()
+        self.members, self.folds, self.label = members, folds, "label"
+
+    def setLabelCol(self, name: str) -> Stacking:  # noqa: N802
+        self.label = name
+        return self
+
+    def _fit(self, df: DataFrame) -> Stacked:
+        rows = written(df.select(F.monotonically_increasing_id().alias("_row"), "features", self.label))
+        met = stratified_folds(rows, self.label, "_row", self.folds)
+        train = written(met)
+        for i, entry in enumerate(self.members.values()):
+            met = met.join(out_of_fold(entry, train, "_row", self.label, folds=self.folds).select("_row", F.col("score").alias(f"_s{i}")), "_row")
+        last = fit(Entry(lambda d, n: C.LogisticRegression(regParam=1 / max(1, n), maxIter=2000, standardization=False), "balanced"), joined_scores(met, len(self.members)), self.label)
+        return Stacked([fit(entry, rows, self.label) for entry in self.members.values()], last)
+
+
+def joined_scores(df: DataFrame, n: int) -> DataFrame:
+    """features: the scores _s0, _s1, ... before the features."""
+    scores = F.array(*(F.col(f"_s{i}") for i in range(n)))
+    return df.withColumn("features", array_to_vector(F.concat(scores, vector_to_array("features")))).drop(*(f"_s{i}" for i in range(n)))
+
+
+class Stacked(Transformer):
+    def __init__(self, parts: Sequence[Model], last: Model):
+        super().__init__()
+        self.parts, self.last = list(parts), last
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        for i, part in enumerate(self.parts):
+            df = score_column(part.transform(df)).withColumnRenamed("score", f"_s{i}").drop("probability", "rawPrediction", "prediction")
+        kept = df.withColumn("_features", F.col("features"))
+        return self.last.transform(joined_scores(kept, len(self.parts))).drop("features").withColumnRenamed("_features", "features")
+
+
 class AdaBoost(Estimator):
     """Discrete boosting of stumps: rows that a stump gets wrong weigh more for the next."""
 

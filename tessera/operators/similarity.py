@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.bits import common, ones
@@ -34,12 +38,39 @@ def max_tanimoto(queries: DataFrame, reference: DataFrame, row_id: str, words: s
     return queries.join(best, row_id, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
+#: Numbers in a block of vectors that meet another block in one row.
+BLOCK_CELLS = 1 << 17
+
+
 def nearest_share(queries: DataFrame, reference: DataFrame, row_id: str, vector: str, label: str, k: int = 5) -> DataFrame:
-    """row_id, score: share of rows with label 1 among the k nearest of the reference (squared distance, ties by id), itself left out."""
-    items, blocks = in_blocks(reference, row_id, [F.col(vector).alias("v"), F.col(label).cast("double").alias("y")])
-    asked = queries.select(row_id, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    gap = lambda item: F.aggregate(F.zip_with(F.col(vector), item["v"], lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    near = F.transform(F.filter("_items", lambda i: i["id"] != F.col(row_id)), lambda i: F.struct(gap(i).alias("d"), i["id"].alias("i"), i["y"].alias("y")))
-    local = asked.join(items, "_block").select(row_id, F.explode(F.slice(F.array_sort(near), 1, k)).alias("n")).select(row_id, "n.*")
+    """row_id, score: share of rows with label 1 among the k nearest of the reference (squared distance, ties by id), itself left out.
+
+    Both sides are dealt into blocks of about BLOCK_CELLS numbers; each pair of blocks is one row, whose distances are matrix work
+    in Arrow batches and leave k rows a query. Whole numbers below 2**26 give exact distances.
+    """
+    width = reference.agg(F.max(F.size(vector))).first()[0] or 1
+    rows = max(16, BLOCK_CELLS // width)
+    number = F.col(vector).cast("array<double>")
+    items, blocks = in_blocks(reference, row_id, [number.alias("v"), F.col(label).cast("double").alias("y")], rows)
+    asked, _ = in_blocks(queries, row_id, [number.alias("v")], rows)
+    asked = asked.select(F.col("_items").alias("_asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = lambda s: s.field("v").flatten().to_numpy().reshape(len(s), -1)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                near, far = batch.column("_asked")[i].values, batch.column("_items")[i].values
+                q, r, ids, y = matrix(near), matrix(far), far.field("id").to_numpy(), far.field("y").to_numpy(zero_copy_only=False)
+                out: list[tuple] = []
+                for own, v in zip(near.field("id").to_pylist(), q):
+                    gap = ((r - v) ** 2).sum(axis=1)
+                    gap[ids == own] = np.inf
+                    at = np.flatnonzero(gap <= np.partition(gap, min(k, len(gap)) - 1)[min(k, len(gap)) - 1])
+                    at = at[np.lexsort((ids[at], gap[at]))][:k]
+                    out += [(own, gap[j], int(ids[j]), y[j]) for j in at if ids[j] != own]
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.float64()))], [row_id, "d", "i", "y"])
+
+    local = asked.join(items, "_block").select("_asked", "_items").mapInArrow(compare, f"`{row_id}` bigint, d double, i bigint, y double")
     order = Window.partitionBy(row_id).orderBy("d", "i")
-    return local.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).groupBy(row_id).agg(F.avg("y").alias("score"))
+    best = local.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).groupBy(row_id).agg(F.avg("y").alias("score"))
+    return best.withColumn(row_id, F.col(row_id).cast(queries.schema[row_id].dataType))

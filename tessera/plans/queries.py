@@ -1,7 +1,7 @@
 """Queries over the driver's tables for every operator of the library, and the same in SQL for another engine.
 
 Stand-ins: documents are molecules (text is the structure, source the data set), labels give label, sign bits of embeddings
-are fingerprints (label 0 is the positive source, 1 to 3 are decoys), and (n_chars mod 97) / 97 is a score.
+are fingerprints (label 0 is the positive source, all others are dealt to three decoys), and (n_chars mod 97) / 97 is a score.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions.bits import common, ones, sign_bits
 from tessera.functions.columns import numeric_features, sigmoid, to_bit, to_number, with_prefix, without_internal
@@ -29,8 +29,13 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "source", "lang", F.col("quality").alias("y"), ((F.col("n_chars") % 97) / F.lit(97.0).cast("double")).alias("s"))
 
 
+def decoy(label) -> Column:
+    """0, the positive source, for label 0; all other labels are dealt to sources 1 to 3."""
+    return F.when(label == 0, 0).otherwise((label - 1) % 3 + 1)
+
+
 def prints(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "embeddings").select("vec_id", F.col("label").alias("source"), sign_bits(F.col("embedding")).alias("w"), "embedding")
+    return read_table(spark, d, "embeddings").select("vec_id", decoy(F.col("label")).alias("source"), sign_bits(F.col("embedding")).alias("w"), "embedding")
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -115,8 +120,10 @@ def sigmoid_scores(spark, d):
 
 
 def view_weights_text(spark, d):
-    w = metrics.normal_weights(3, [2, -1, 1])
-    return read_table(spark, d, "region").select("r_regionkey", metrics.weights_text(w).alias("weights"))
+    """Weights of three views for each customer: negative ones and nulls count as 0, and all are equal where none is left."""
+    c = read_table(spark, d, "customer")
+    w = [F.col("c_acctbal"), (F.col("c_nationkey") - 12) * F.lit(250.0), F.when(F.col("c_nationkey") % 5 > 0, F.col("c_custkey") % 7 * F.lit(100.0))]
+    return c.select("c_custkey", metrics.weights_text(metrics.normal_columns(w)).alias("weights"))
 
 
 def fold_mean_std_rows(spark, d):
@@ -182,14 +189,14 @@ def source_entropy(spark, d):
 def knn5_score(spark, d):
     e = read_table(spark, d, "embeddings").withColumn("y", (F.col("label") == 0).cast("int"))
     e = e.withColumn("q", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint")))
-    return similarity.nearest_share(e.filter("label between 0 and 3"), e.filter("label between 0 and 3"), "vec_id", "q", "y")
+    return similarity.nearest_share(e, e, "vec_id", "q", "y")
 
 
 def hard_negative_select(spark, d):
-    p = prints(spark, d).filter("source between 0 and 3")
+    p = prints(spark, d)
     near = similarity.max_tanimoto(p.filter("source > 0"), p.filter("source = 0"), "vec_id", "w")
     rows = near.withColumns({"cluster": F.col("vec_id") % 16, "conf": (F.col("vec_id") % 13) / F.lit(13.0).cast("double")})
-    return hardness.select_hard(rows, p.filter("source = 0").count(), [1, 2, 3], "vec_id", "cluster", "source", "max_tanimoto", "conf", ratio=0.6).select("vec_id", "source", "max_tanimoto")
+    return hardness.select_hard(rows, p.filter("source = 0").count(), [1, 2, 3], "vec_id", "cluster", "source", "max_tanimoto", "conf", ratio=RATIO).select("vec_id", "source", "max_tanimoto")
 
 
 def view_ensemble(spark, d):
@@ -232,7 +239,7 @@ def cross_source_matrix(spark, d):
     p = prints(spark, d)
     pos, out = p.filter("source = 0"), None
     for a in (1, 2, 3):
-        near = similarity.max_tanimoto(p.filter("source between 0 and 3"), p.filter(F.col("source") == a), "vec_id", "w", "s")
+        near = similarity.max_tanimoto(p, p.filter(F.col("source") == a), "vec_id", "w", "s")
         for b in (1, 2, 3):
             if a != b:
                 part = near.filter(F.col("source").isin(0, b)).select(F.lit(a).alias("train_source"), F.lit(b).alias("test_source"), (F.col("source") == 0).cast("int").alias("y"), "s")
@@ -257,8 +264,8 @@ def lineitem_ranking(spark, d):
 
 
 def _features(spark, d):
-    e = read_table(spark, d, "embeddings").filter("label between 0 and 3").withColumn("bits", F.transform("embedding", lambda x: (x > 0).cast("double")))
-    return e.select("vec_id", F.col("label").alias("source"), (F.col("label") == 0).cast("double").alias("label"), array_to_vector("bits").alias("features"))
+    e = read_table(spark, d, "embeddings").withColumn("bits", F.transform("embedding", lambda x: (x > 0).cast("double")))
+    return e.select("vec_id", decoy(F.col("label")).alias("source"), (F.col("label") == 0).cast("double").alias("label"), array_to_vector("bits").alias("features"))
 
 
 def logreg_oof(spark, d):
@@ -302,9 +309,9 @@ def ordered_boosting(spark, d):
 
 
 def soft_voting(spark, d):
-    """The mean of three members' out-of-fold scores."""
+    """The mean of the voting members' out-of-fold scores: a forest of 300 trees, the RBF machine, the elastic net."""
     rows = split.stratified_folds(_features(spark, d), "label", "vec_id")
-    members = [models.out_of_fold(models.registry()[n], rows, "vec_id") for n in ("LogReg_ElasticNet", "GaussianNB", "DecisionTree")]
+    members = [models.out_of_fold(entry, rows, "vec_id") for entry in models.voters().values()]
     return models.soft_vote(members, "vec_id")
 
 
@@ -383,7 +390,7 @@ def _threshold(table: str, key: str) -> str:
 
 ONE = "u AS (SELECT 1 AS one, * FROM t)"
 L = "l AS (SELECT doc_id, source, toxic AS label FROM documents JOIN labels USING (doc_id))"
-BITS = "b AS (SELECT vec_id, label AS source, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)"
+BITS = "b AS (SELECT vec_id, CASE WHEN label = 0 THEN 0 ELSE (label - 1) % 3 + 1 END AS source, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)"
 PAIR = "list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: z[1] * z[2]))"
 DRAW = "md5(concat('42:', {id}))"
 
@@ -439,7 +446,8 @@ ORACLES: dict[str, str] = {
       h AS ({_threshold("(SELECT lang, y, s + CAST(0.5 AS DOUBLE) AS s FROM r)", "lang")}), b AS (SELECT lang, avg(((s - lo) / (hi - lo) - y) * ((s - lo) / (hi - lo) - y)) AS brier FROM r JOIN m USING (lang) GROUP BY lang)
       SELECT h.* EXCLUDE (brier), b.brier FROM h JOIN b USING (lang)""",
     "sigmoid_scores": "SELECT event_id, round(1 / (1 + exp(-(value / 100))), 9) AS score FROM events",
-    "view_weights_text": "SELECT r_regionkey, '0.6667,0.0000,0.3333' AS weights FROM region",
+    "view_weights_text": """WITH w AS (SELECT c_custkey, greatest(c_acctbal, 0) AS a, greatest((c_nationkey - 12) * CAST(250 AS DOUBLE), 0) AS b, CASE WHEN c_nationkey % 5 > 0 THEN c_custkey % 7 * CAST(100 AS DOUBLE) ELSE 0 END AS c FROM customer)
+      SELECT c_custkey, CASE WHEN a + b + c > 0 THEN printf('%.4f,%.4f,%.4f', a / (a + b + c), b / (a + b + c), c / (a + b + c)) ELSE '0.3333,0.3333,0.3333' END AS weights FROM w""",
     "fold_mean_std_rows": f"""WITH {T}, f AS (SELECT *, (row_number() OVER (ORDER BY y, {DRAW.format(id='id')}, id) - 1) % 5 AS fold FROM t), a AS ({_auc('f', 'fold')}), b AS ({_ap('f', 'fold')}), j AS (SELECT * FROM a JOIN b USING (fold))
       SELECT 'mean' AS stat, avg(fold) AS fold, avg(roc_auc) AS roc_auc, avg(ap) AS ap FROM j UNION ALL SELECT 'std', stddev_samp(fold), stddev_samp(roc_auc), stddev_samp(ap) FROM j""",
     "kept_columns": "SELECT l_linenumber, count(*) AS n, sum(l_quantity) AS quantity, max(l_extendedprice) AS price FROM lineitem GROUP BY l_linenumber",
@@ -454,14 +462,14 @@ ORACLES: dict[str, str] = {
     "tanimoto_max_to_pos": f"WITH {BITS} SELECT vec_id, v AS max_tanimoto FROM ({_near_sql('BETWEEN 1 AND 3', '= 0')})",
     "popcounts": f"WITH {BITS} SELECT vec_id, CAST(list_sum(bits) AS INT) AS bits, CAST(list_sum(bits) AS INT) AS common_with_self FROM b",
     "source_entropy": "SELECT lang, CAST(sum(c) AS BIGINT) AS n, greatest(log2(sum(c)) - sum(c * log2(c)) / sum(c), 0) AS entropy FROM (SELECT lang, source, count(*) AS c FROM documents GROUP BY ALL) GROUP BY lang",
-    "knn5_score": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS v FROM embeddings WHERE label BETWEEN 0 AND 3),
+    "knn5_score": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS v FROM embeddings),
       n AS (SELECT q.vec_id, r.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(q.v, r.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), r.vec_id) AS k FROM e q, e r WHERE q.vec_id <> r.vec_id)
       SELECT vec_id, avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) AS score FROM n WHERE k <= 5 GROUP BY vec_id""",
     "hard_negative_select": f"""WITH {BITS}, m AS (SELECT vec_id, source, v, vec_id % 16 AS cluster, (vec_id % 13) / CAST(13 AS DOUBLE) AS conf FROM ({_near_sql('BETWEEN 1 AND 3', '= 0')})),
       c AS (SELECT cluster, source, count(*) AS c FROM m GROUP BY ALL), e AS (SELECT cluster, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS ent FROM c GROUP BY cluster),
       g AS (SELECT cluster FROM e JOIN (SELECT cluster, avg(v) AS mean FROM m GROUP BY cluster) USING (cluster) WHERE ent >= 0.8 AND mean >= 0.3),
       r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY (CAST(1 AS DOUBLE) - v) + conf, vec_id) AS n FROM m WHERE v BETWEEN CAST(0.25 AS DOUBLE) AND CAST(0.9 AS DOUBLE) AND conf <= CAST(0.8 AS DOUBLE) AND cluster IN (SELECT cluster FROM g))
-      SELECT vec_id, source, v AS max_tanimoto FROM r WHERE n <= greatest(1, CAST(ceil(0.6 * (SELECT count(*) FROM b WHERE source = 0)) AS BIGINT) // 3)""",
+      SELECT vec_id, source, v AS max_tanimoto FROM r WHERE n <= greatest(1, CAST(ceil(6 * (SELECT count(*) FROM b WHERE source = 0)) AS BIGINT) // 3)""",
     "view_ensemble": f"WITH {T} SELECT id, y, (CAST(0.75 AS DOUBLE) * s + CAST(0.25 AS DOUBLE) * ((id % 31) / CAST(31 AS DOUBLE))) / CAST(1 AS DOUBLE) AS s FROM t",
     "min_max_scores": "SELECT doc_id, CASE WHEN hi > lo THEN (n_chars - lo) / CAST(hi - lo AS DOUBLE) WHEN n_chars IS NOT NULL THEN 0.0 END AS scaled FROM documents JOIN (SELECT source, min(n_chars) AS lo, max(n_chars) AS hi FROM documents GROUP BY source) USING (source)",
     "confusion_matrix": "SELECT CAST(c AS VARCHAR) AS true_label, " + ", ".join(f"(SELECT count(*) FROM embeddings WHERE label % 3 = c AND vec_id % 3 = {p}) AS pred_{p}" for p in range(3)) + " FROM range(3) AS g(c)",
@@ -473,7 +481,7 @@ ORACLES: dict[str, str] = {
     "fold_summary": f"""WITH {T}, f AS (SELECT *, (row_number() OVER (ORDER BY y, {DRAW.format(id='id')}, id) - 1) % 5 AS fold FROM t), a AS ({_auc('f', 'fold')}), b AS ({_ap('f', 'fold')})
       SELECT 'm' AS model, avg(roc_auc) AS roc_auc_mean, stddev_samp(roc_auc) AS roc_auc_std, avg(ap) AS ap_mean, stddev_samp(ap) AS ap_std FROM a JOIN b USING (fold)""",
     "cross_source_matrix": f"""WITH {BITS}, m AS (SELECT q.vec_id, q.source, r.source AS train_source, max({PAIR} / CAST(greatest(list_sum(q.bits) + list_sum(r.bits) - {PAIR}, 1) AS DOUBLE)) AS s
-      FROM b q, b r WHERE q.source BETWEEN 0 AND 3 AND r.source BETWEEN 1 AND 3 GROUP BY ALL),
+      FROM b q, b r WHERE r.source BETWEEN 1 AND 3 GROUP BY ALL),
       x AS (SELECT train_source, t AS test_source, train_source * 10 + t AS key, CASE WHEN source = 0 THEN 1 ELSE 0 END AS y, s FROM m, range(1, 4) AS g(t) WHERE t <> train_source AND source IN (0, t))
       SELECT CAST(key // 10 AS INT) AS train_source, CAST(key % 10 AS INT) AS test_source, roc_auc FROM ({_auc('x', 'key')})""",
     "bootstrap_ci": BOOT,

@@ -58,3 +58,24 @@ def test_running_sums_match_one_window(spark):
 def test_min_max_of_constant_is_zero(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 2.0)], "g string, s double")
     assert sorted(r["x"] for r in columns.min_max(df, "s", ["g"], "x").collect()) == [0.0, 0.0, 0.0, 1.0]
+
+
+def test_min_max_ignores_nan(spark):
+    df = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", 3.0), (None, 5.0), (None, None), (None, 6.0)], "g string, s double")
+    got = {(r["g"], repr(r["s"])): r["x"] for r in columns.min_max(df, "s", ["g"], "x").collect()}
+    assert got["a", "1.0"] == 0 and got["a", "3.0"] == 1 and got["a", "nan"] != got["a", "nan"] and got[None, "6.0"] == 1 and got[None, "5.0"] == 0 and got[None, "None"] is None and len(got) == 6
+
+
+@pytest.mark.parametrize("score", ["id * 1e-9", "id * 1000.0", "0.25", "CASE WHEN id % 3 = 0 THEN 0.0 ELSE id * 1.0 END"])
+def test_no_range_holds_much_more_than_its_share(spark, score):
+    """Narrow, wide, tied and skewed scores: rows of a range, as running_sums deals them, and the ranks."""
+    df = spark.range(20000, numPartitions=4).selectExpr("id", f"CAST({score} AS DOUBLE) AS s")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(8, F.desc_nulls_last("s"), "id", "_row")
+        held = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert max(held) <= 2 * 20000 / 8
+        got = sorted((r["rank"], r["id"], r["s"]) for r in ranked(df, [], "s", "id").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [g[0] for g in got] == list(range(1, 20001)) and [g[1] for g in got] == [i for _, i in sorted((-s, i) for _, i, s in got)]

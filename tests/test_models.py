@@ -62,3 +62,47 @@ def test_csv_round_trip(spark, tmp_path):
     assert write_csv(df, f"{tmp_path}/deep/out", single=True) == 2
     assert sorted(tuple(r) for r in read_csv(spark, f"{tmp_path}/deep/out", "x int, y string").collect()) == [(1, "a,b"), (2, None)]
     assert union_sheets([df, df.select("x")]).filter("y is null").count() == 3
+
+
+@pytest.mark.parametrize("how", ["minmax", "standard"])
+def test_features_are_imputed_and_scaled(spark, how):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(41, 4))
+    x[:, 2], x[::5, 0], x[:, 3] = 7.0, np.nan, np.nan
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>").select("id", array_to_vector("x").alias("features"))
+    got = np.array([r["features"].toArray() for r in models.FeatureScaler(how).fit(df).transform(df).orderBy("id").collect()])
+    full = np.where(np.isnan(x), [np.nanmedian(x[:, 0]), 0, 0, 0], x)
+    want = (full - full.min(0)) / np.where(np.ptp(full, axis=0) > 0, np.ptp(full, axis=0), 1) if how == "minmax" else (full - full.mean(0)) / np.where(full.std(0) > 0, full.std(0), 1)
+    assert np.allclose(got, want)
+
+
+def test_folds_are_scaled_by_their_own_rows(spark, rows):
+    model = models.fit(models.registry()["LogReg_L2"], rows, scale="minmax")
+    assert models.score_column(model.transform(rows)).filter("score between 0 and 1").count() == 90
+
+
+def test_neighbours_equal_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x, y = np.round(r.normal(size=(60, 3)), 1), r.integers(0, 2, 60)
+    df = spark.createDataFrame([(i, v.tolist(), float(y[i])) for i, v in enumerate(x)], "id int, x array<double>, label double").select("id", array_to_vector("x").alias("features"), "label").coalesce(1)
+    train, test = df.filter("id < 40"), df.filter("id >= 40")
+    got = {r["id"]: r["score"] for r in models.score_column(models.fit(models.registry()["KNN"], train).transform(test)).collect()}
+    far = ((x[40:, None] - x[None, :40]) ** 2).sum(2)
+    for i in range(20):
+        order = sorted(range(40), key=lambda j: (far[i, j], -j))[:5]  # ids are given downwards
+        assert abs(got[40 + i] - y[order].mean()) < 1e-9
+    own = {r["id"]: r["score"] for r in models.knn(df, df, "id").collect()}
+    for i in range(60):
+        order = sorted((j for j in range(60) if j != i), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:5]
+        assert abs(own[i] - y[order].mean()) < 1e-9
+
+
+def test_stacking_entry(spark, rows):
+    model = models.fit(models.Entry(lambda d, n: models.Stacking({"a": models.registry()["LogReg_L2"], "b": models.registry()["GaussianNB"]}, 3)), rows)
+    scored = models.score_column(model.transform(rows))
+    means = {r["label"]: r["m"] for r in scored.groupBy("label").agg(F.avg("score").alias("m")).collect()}
+    assert scored.count() == 90 and means[1.0] > means[0.0] and {"KNN", "Stacking"} <= models.registry().keys()
