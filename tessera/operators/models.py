@@ -16,14 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml import classification as C
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.columns import sigmoid
-from tessera.operators import boosting, randomtrees
+from tessera.operators import boosting, kernel, randomtrees
+from tessera.operators.lloyd import Starts
 from tessera.operators.similarity import nearest_share
 from tessera.operators.split import stratified_folds
 from tessera.sources.shared import written
@@ -55,7 +54,7 @@ def registry(num_trees: int | None = None) -> dict[str, Entry]:
     return {
         "LogReg_L2": Entry(linear(0.0), "balanced"),
         "LogReg_ElasticNet": Entry(linear(0.5), "balanced"),
-        "SVM_RBF": Entry(lambda d, rows: RandomFourierSVC(), "balanced"),
+        "SVM_RBF": Entry(lambda d, rows: kernel.KernelMachine(), "balanced"),
         "GaussianNB": Entry(lambda d, rows: C.NaiveBayes(modelType="gaussian")),
         "DecisionTree": Entry(lambda d, rows: C.DecisionTreeClassifier(maxDepth=30, seed=SEED), "balanced"),
         "RandomForest": Entry(_trees(t(400)), "balanced"),
@@ -366,54 +365,6 @@ class AdaBoost(Estimator):
         return Boosted(parts)
 
 
-class RandomFourierSVC(Estimator):
-    """A linear machine on random cosine features, which approximate the RBF kernel; its margins are calibrated by a logistic fit."""
-
-    def __init__(self, features: int = 256):
-        super().__init__()
-        self.features, self.label = features, "label"
-
-    def setLabelCol(self, name: str) -> RandomFourierSVC:  # noqa: N802
-        self.label = name
-        return self
-
-    def _fit(self, df: DataFrame):
-        first = df.select("features").first()[0]
-        d = first.size
-        var = df.select(F.explode(vector_to_array("features")).alias("x")).agg(F.var_pop("x")).first()[0] or 1.0
-        rng = np.random.default_rng(SEED)
-        # Directions drawn for gamma = 1 / (d * variance); cos(a + b) needs a shift.
-        directions = rng.normal(0, math.sqrt(2 / (d * var)), (d, self.features))
-        shifts = rng.uniform(0, 2 * math.pi, self.features)
-        mapped = Cosines(DenseMatrix(d, self.features, directions.ravel(order="F")), DenseVector(shifts))
-        svc = C.LinearSVC(featuresCol="_cos", labelCol=self.label, regParam=0.01, maxIter=100, **({"weightCol": "weight"} if "weight" in df.columns else {}))
-        rows = mapped.transform(df)
-        machine = svc.fit(rows)
-        margins = machine.transform(rows).withColumn("_m", array_to_vector(F.array(vector_to_array("rawPrediction")[1]))).drop("prediction", "rawPrediction")
-        return Chain([mapped, machine, Margins(), C.LogisticRegression(featuresCol="_m", labelCol=self.label).fit(margins)])
-
-
-class Cosines(Transformer):
-    def __init__(self, directions: DenseMatrix, shifts: DenseVector):
-        super().__init__()
-        self.directions, self.shifts = directions, shifts
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        w, b = self.directions.toArray(), self.shifts.toArray()
-
-        @F.pandas_udf("array<double>")
-        def project(v: pd.Series) -> pd.Series:
-            x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, len(w)))
-            return pd.Series(list(np.cos(x @ w + b) * math.sqrt(2 / len(b))))
-
-        return df.withColumn("_cos", array_to_vector(project(vector_to_array("features"))))
-
-
-class Margins(Transformer):
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_m", array_to_vector(F.array(vector_to_array("rawPrediction")[1]))).drop("prediction", "rawPrediction")
-
-
 class Chain(Transformer):
     def __init__(self, stages: list[Transformer]):
         super().__init__()
@@ -422,12 +373,12 @@ class Chain(Transformer):
     def _transform(self, df: DataFrame) -> DataFrame:
         for s in self.stages:
             df = s.transform(df)
-        return df.drop("_cos", "_m")
+        return df
 
 
 def clusters(df: DataFrame, k: int = 16, starts: int = 10, most_axes: int = 50, out: str = "_cluster") -> DataFrame:
-    """Principal axes, then the best of several k-means starts."""
+    """Principal axes, then the best of several k-means starts, which move together."""
     size = df.select(F.max(F.size(vector_to_array("features")))).first()[0]
-    low = PCA(k=min(most_axes, size), inputCol="features", outputCol="_axes").fit(df).transform(df).cache()
-    best = min((KMeans(k=k, seed=SEED + i, featuresCol="_axes", predictionCol=out).fit(low) for i in range(starts)), key=lambda m: m.summary.trainingCost)
-    return best.transform(low).drop("_axes")
+    low = PCA(k=min(most_axes, size), inputCol="features", outputCol="_axes").fit(df).transform(df)
+    low = written(low)
+    return Starts(k, starts, seed=SEED, column="_axes", out=out).fit(low).transform(low).drop("_axes")

@@ -318,7 +318,7 @@ def soft_voting(spark, d):
 def source_confusion(spark, d):
     from tessera.plans.pipelines import domain_check
 
-    return domain_check(_features(spark, d).withColumn("source", F.concat(F.lit("d"), F.col("source"))), "vec_id", "source", ["d1", "d2", "d3"], num_trees=5)[2]
+    return domain_check(_features(spark, d).withColumn("source", F.concat(F.lit("d"), F.col("source"))), "vec_id", "source", ["d1", "d2", "d3"], num_trees=STAGE_TREES)[2]
 
 
 def hard_negatives_stage(spark, d):
@@ -340,7 +340,7 @@ def cross_source_stage(spark, d):
 def domain_classifier_oof(spark, d):
     from tessera.plans.pipelines import domain_check
 
-    return domain_check(_features(spark, d).withColumn("source", F.concat(F.lit("d"), F.col("source"))), "vec_id", "source", ["d1", "d2", "d3"], num_trees=5)[0]
+    return domain_check(_features(spark, d).withColumn("source", F.concat(F.lit("d"), F.col("source"))), "vec_id", "source", ["d1", "d2", "d3"], num_trees=STAGE_TREES)[0]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
