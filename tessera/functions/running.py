@@ -17,18 +17,18 @@ def running_sums(df: DataFrame, groups: Sequence[str], by: str, sums: dict[str,
     """Adds for each (out: column) of sums the sum over rows up to and with each row, in the order of by and ties. Nulls of by come
     last; what is equal in all of these is in the order of the input's row numbers."""
     first = F.desc_nulls_last(by) if descending else F.asc_nulls_last(by)
-    order = [first, *(F.col(t) if isinstance(t, str) else t for t in ties), F.col("_row")]
-    dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*(F.col(g) for g in groups), *order)
-    kept = written(dealt.withColumn("_range", F.spark_partition_id()))
-    totals = kept.groupBy(*(F.col(g).alias(f"_in_{i}") for i, g in enumerate(groups)), F.col("_range").alias("_of")).agg(*(F.sum(c).alias(f"_{o}") for o, c in sums.items()))
-    earlier = Window.partitionBy(*(f"_in_{i}" for i in range(len(groups)))).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    before = totals.select(*(f"_in_{i}" for i in range(len(groups))), "_of", *(F.coalesce(F.sum(f"_{o}").over(earlier), F.lit(0)).alias(f"_{o}") for o in sums))
-    inside = Window.partitionBy("_range", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    same = F.col("_range") == F.col("_of")
+    order = [first, *(F.col(t) if isinstance(t, str) else t for t in ties), F.col("_sum_row")]
+    dealt = df.withColumn("_sum_row", F.monotonically_increasing_id()).repartitionByRange(*(F.col(g) for g in groups), *order)
+    kept = written(dealt.withColumn("_sum_range", F.spark_partition_id()))
+    totals = kept.groupBy(*(F.col(g).alias(f"_sum_in_{i}") for i, g in enumerate(groups)), F.col("_sum_range").alias("_sum_of")).agg(*(F.sum(c).alias(f"_sum_{o}") for o, c in sums.items()))
+    earlier = Window.partitionBy(*(f"_sum_in_{i}" for i in range(len(groups)))).orderBy("_sum_of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = totals.select(*(f"_sum_in_{i}" for i in range(len(groups))), "_sum_of", *(F.coalesce(F.sum(f"_sum_{o}").over(earlier), F.lit(0)).alias(f"_sum_{o}") for o in sums))
+    inside = Window.partitionBy("_sum_range", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_sum_range") == F.col("_sum_of")
     for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_in_{i}"))
+        same = same & F.col(g).eqNullSafe(F.col(f"_sum_in_{i}"))
     joined = kept.withColumns({o: F.sum(c).over(inside) for o, c in sums.items()}).join(before, same)
-    return joined.withColumns({o: F.col(o) + F.col(f"_{o}") for o in sums}).drop("_row", "_range", "_of", *(f"_in_{i}" for i in range(len(groups))), *(f"_{o}" for o in sums))
+    return joined.withColumns({o: F.col(o) + F.col(f"_sum_{o}") for o in sums}).drop("_sum_row", "_sum_range", "_sum_of", *(f"_sum_in_{i}" for i in range(len(groups))), *(f"_sum_{o}" for o in sums))
 
 
 def ranked(df: DataFrame, groups: Sequence[str], by: str, tie: str, out: str = "rank") -> DataFrame:

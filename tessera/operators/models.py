@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib.util
 import logging
 import math
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -18,14 +19,14 @@ from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml import classification as C
 from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.columns import sigmoid
 from tessera.operators import boosting, kernel, randomtrees
 from tessera.operators.lloyd import Starts
 from tessera.operators.similarity import nearest_share
 from tessera.operators.split import stratified_folds
-from tessera.sources.shared import written
+from tessera.sources.shared import shared_dir, written
 
 log = logging.getLogger(__name__)
 SEED = 42
@@ -174,11 +175,21 @@ def fit(entry: Entry, train: DataFrame, label: str = "label", scale: str | None
         est.setLabelCol(label) if hasattr(est, "setLabelCol") else None
         if entry.weights and est.hasParam("weightCol"):
             est.set(est.getParam("weightCol"), "weight")
-        return est.fit(weighed)
+        return without_summary(est.fit(weighed))
     finally:
         weighed.unpersist()
 
 
+def without_summary(model: Model) -> Model:
+    """The model, written and read again if it has a training summary. A summary holds the session, and once a session has observed a
+    query it can't be sent to tasks: scoring would fail, depending on what else ran before."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = f"{shared_dir(SparkSession.getActiveSession())}/tessera-model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def out_of_fold(entry: Entry, df: DataFrame, row_id: str, label: str = "label", fold: str = "fold", folds: int = 5, classes: int = 2) -> DataFrame:
     """row_id, label, fold, probabilities, score, prediction of each row by the model that hasn't seen its fold."""
     out = None

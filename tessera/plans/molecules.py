@@ -95,6 +95,6 @@ def _key_sql(name: str) -> str:
 
 ORACLES = {
     "structure_counts": f"SELECT p_partkey, {_OK} AS valid, CAST(CASE WHEN {_OK} THEN {_ATOMS} ELSE 0 END AS BIGINT) AS atoms, CAST(CASE WHEN {_OK} THEN {_BONDS} ELSE 0 END AS BIGINT) AS bonds, CAST(CASE WHEN {_OK} THEN {_ATOMS} ELSE 1 END AS BIGINT) AS graph_atoms, CAST(CASE WHEN {_OK} THEN 2 * ({_BONDS}) ELSE 0 END AS BIGINT) AS edges FROM part",
-    "element_counts": " UNION ALL ".join(f"SELECT '{e}' AS element, CAST(sum({' + '.join(_pick(k, [_elements(t).get(e, 0) for t, *_ in PIECES[k]]) for k in range(4))}) AS BIGINT) AS atoms FROM part WHERE {_OK}" for e in _ELEMENTS),
+    "element_counts": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{e}' AS element, CAST(sum({' + '.join(_pick(k, [_elements(t).get(e, 0) for t, *_ in PIECES[k]]) for k in range(4))}) AS BIGINT) AS atoms FROM part WHERE {_OK}" for e in _ELEMENTS) + ") WHERE atoms > 0",
     "structure_keys": f"SELECT p_partkey, {', '.join(map(_key_sql, EXPECTED))} FROM part",
 }

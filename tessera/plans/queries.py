@@ -259,7 +259,7 @@ def rank_rows(spark, d):
 
 def lineitem_ranking(spark, d):
     """Volume: areas and enrichment by supplier over all line items, discount as score."""
-    li = read_table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_linestatus") == "O").cast("int").alias("y"), (F.col("l_partkey") % 1009 / F.lit(1009.0).cast("double")).alias("s"))
+    li = read_table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 2 + (F.col("l_linestatus") == "O").cast("int")).alias("id"), (F.col("l_linestatus") == "O").cast("int").alias("y"), (F.col("l_partkey") % 1009 / F.lit(1009.0).cast("double")).alias("s"))
     return metrics.roc_auc(li, ["flag"]).join(metrics.early_enrichment(li, ["flag"]), "flag")
 
 
@@ -486,7 +486,7 @@ ORACLES: dict[str, str] = {
       SELECT CAST(key // 10 AS INT) AS train_source, CAST(key % 10 AS INT) AS test_source, roc_auc FROM ({_auc('x', 'key')})""",
     "bootstrap_ci": BOOT,
     "rank_rows": f"WITH {T} SELECT id, lang, row_number() OVER (PARTITION BY lang ORDER BY s DESC, id) AS rank FROM t",
-    "lineitem_ranking": f"""WITH t AS (SELECT l_returnflag AS flag, l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS y, (l_partkey % 1009) / CAST(1009 AS DOUBLE) AS s FROM lineitem),
+    "lineitem_ranking": f"""WITH t AS (SELECT l_returnflag AS flag, (l_orderkey * 8 + l_linenumber) * 2 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS id, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS y, (l_partkey % 1009) / CAST(1009 AS DOUBLE) AS s FROM lineitem),
       a AS ({_auc('t', 'flag')}), b AS ({_early('t', 'flag')}) SELECT * FROM a JOIN b USING (flag)""",
 }
 

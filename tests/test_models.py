@@ -106,3 +106,14 @@ def test_stacking_entry(spark, rows):
     scored = models.score_column(model.transform(rows))
     means = {r["label"]: r["m"] for r in scored.groupBy("label").agg(F.avg("score").alias("m")).collect()}
     assert scored.count() == 90 and means[1.0] > means[0.0] and {"KNN", "Stacking"} <= models.registry().keys()
+
+
+def test_models_are_sent_to_tasks_after_an_observed_query(spark, rows):
+    from pyspark.sql import Observation
+
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    for name in ("LogReg_L2", "RandomForest", "MLP"):
+        model = models.fit(models.registry(2)[name], rows)
+        assert models.score_column(model.transform(rows)).filter("score between 0 and 1").count() == 90
