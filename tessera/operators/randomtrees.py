@@ -153,20 +153,44 @@ class Growth:
         found = _merged(self.over_nodes(open_, look), np.add, np.int64)
         return {s: v.reshape(-1, 1 + classes) for s, v in found.items()}
 
+    def two_valued(self) -> np.ndarray | None:
+        """(least, largest) of each feature if none has a third value, as with bits: the first pass of every round isn't needed then."""
+        width = self.width
+
+        def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low, high, third = np.full(width, np.inf), np.full(width, -np.inf), False
+            for batch in batches:
+                x = _numbers(batch, width)
+                if third or not len(x):
+                    continue
+                known_low, known_high = np.minimum(low, x.min(0)), np.maximum(high, x.max(0))
+                third = bool(((x > known_low) & (x < known_high)).any() or ((low > known_low) & (low < known_high)).any() or ((high > known_low) & (high < known_high)).any())
+                low, high = known_low, known_high
+            yield pa.RecordBatch.from_arrays([pa.array([low.tobytes()], pa.binary()), pa.array([high.tobytes()], pa.binary()), pa.array([third])], ["low", "high", "third"])
+
+        parts = self.table.mapInArrow(seen, "low binary, high binary, third boolean").distinct().limit(3).collect()
+        parts = [(np.frombuffer(r[0]), np.frombuffer(r[1])) for r in parts if not r[2]] if not any(r[2] for r in parts) else []
+        parts = [p for p in parts if np.isfinite(p[0]).all()]
+        # Tasks that saw the same two values of every feature, whatever their number; else the first pass is made.
+        return np.stack(parts[0]) if len(parts) == 1 else None
+
     def grow(self, rows: int, weights: np.ndarray) -> list[Tree]:
         for t in self.trees:
             t.classes.append(weights)
         waiting = [Open(i, 0, rows, 0) for i in range(len(self.trees))]
-        k = self.make.tried_features(self.width)
+        k, bounds = self.make.tried_features(self.width), self.two_valued()
         while open_ := [o for o in waiting if self.goes_on(o)]:
             waiting, lots = [], np.array([np.random.default_rng([self.make.seed, o.tree, o.node, o.tried + 1]).random(k) for o in open_])
-            spans = self.ranges(open_)
-            low, high = (np.stack([spans[s][i] for s in range(len(open_))]) for i in range(2))
+            if bounds is None:
+                spans = self.ranges(open_)
+                low, high = (np.stack([spans[s][i] for s in range(len(open_))]) for i in range(2))
+            else:  # a node that has both values of a feature has the table's range of it
+                low, high = (np.stack([b[np.resize(self.drawn(o), k)] for o in open_]) for b in bounds)
             thresholds = low + lots * (high - low)
             thresholds = np.where(thresholds >= high, low, thresholds)
             left = self.sides(open_, thresholds)
             for s, o in enumerate(open_):
-                useful, drawn = high[s] > low[s], self.drawn(o)
+                useful, drawn = (high[s] > low[s]) & (left[s][:, 0] > 0) & (left[s][:, 0] < o.rows), self.drawn(o)
                 if not useful.any():
                     o.tried += 1
                     waiting.append(o)

@@ -75,6 +75,14 @@ def test_equal_to_plain_forest(spark, min_split):
         assert (shares(model, frame(spark, x, y)).argmax(1) == y).all()
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_equal_to_plain_forest_on_bits(spark, parts):
+    x, y = data()
+    x = (x > 0.1).astype(float)
+    make = ExtraTrees(3)
+    assert np.allclose(shares(make.fit(frame(spark, x, y, parts=parts)), frame(spark, x, y)), plain(x, y, np.ones(len(x)), make, x), atol=1e-6)
+
+
 def test_number_of_tasks_changes_nothing(spark):
     x, y = data(80)
     one, many = (shares(ExtraTrees(3).fit(frame(spark, x, y, parts=p)), frame(spark, x, y)) for p in (1, 4))
