@@ -96,12 +96,3 @@ def embeddings(df: DataFrame, structure: str, factory: Callable[[], Callable[[li
             yield pd.Series([v for i in range(0, len(t), batch) for v in encode(t[i : i + batch])], dtype=object)
 
     return df.withColumn("embedding", compute(F.col(structure)))
-
-
-def graph_network_trainer():
-    """The graph network needs torch and its graph library; without them there is no stand-in."""
-    need("torch", "training graph networks")
-    need("torch_geometric", "training graph networks")
-    from pyspark.ml.torch.distributor import TorchDistributor
-
-    return TorchDistributor

@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.columns import sigmoid
-from tessera.operators import boosting, kernel, randomtrees
+from tessera.operators import boosting, kernel, networks, randomtrees
 from tessera.operators.lloyd import Starts
 from tessera.operators.similarity import nearest_share
 from tessera.operators.split import stratified_folds
@@ -67,7 +67,7 @@ def registry(num_trees: int | None = None) -> dict[str, Entry]:
         "Voting": Entry(lambda d, rows: Voting(voters(num_trees))),
         "KNN": Entry(lambda d, rows: Neighbours()),
         "Stacking": Entry(lambda d, rows: Stacking(voters(num_trees))),
-        "MLP": Entry(lambda d, rows: C.MultilayerPerceptronClassifier(layers=[d, 200, 2], maxIter=1000, seed=SEED)),
+        "MLP": Entry(lambda d, rows: networks.Perceptron()),
         "LevelBoosting": Entry(lambda d, rows: boosting.level_wise(t(800)), "positive"),
         "LeafBoosting": Entry(lambda d, rows: boosting.leaf_wise(t(1200)), "positive"),
         "OrderedBoosting": Entry(lambda d, rows: boosting.ordered(t(1500)), "positive"),
@@ -77,6 +77,11 @@ def registry(num_trees: int | None = None) -> dict[str, Entry]:
     }
 
 
+def structure_registry(epochs: int = 30) -> dict[str, Entry]:
+    """Models of a graph column (``structures.graphs``) in place of features."""
+    return {"GraphNetwork": Entry(lambda d, rows: networks.GraphNetwork(epochs=epochs), "positive")}
+
+
 def voters(num_trees: int | None = None) -> dict[str, Entry]:
     """The members of voting and stacking."""
     return {"RandomForest": Entry(_trees(num_trees or 300), "balanced"), **{n: registry(num_trees)[n] for n in ("SVM_RBF", "LogReg_ElasticNet")}}
@@ -170,7 +175,8 @@ def fit(entry: Entry, train: DataFrame, label: str = "label", scale: str | None
         return Chain([scaler, fit(entry, scaler.transform(train), label)])
     weighed = weigh(train, entry.weights, label).cache()
     try:
-        size = weighed.agg(F.count(F.lit(1)), F.max(F.size(vector_to_array("features")))).first()
+        width = F.max(F.size(vector_to_array("features"))) if "features" in train.columns else F.lit(0)
+        size = weighed.agg(F.count(F.lit(1)), width).first()
         est = entry.make(size[1] or 0, size[0])
         est.setLabelCol(label) if hasattr(est, "setLabelCol") else None
         if entry.weights and est.hasParam("weightCol"):

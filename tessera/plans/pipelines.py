@@ -91,32 +91,32 @@ def cross_source(df: DataFrame, row_id: str = "row_id", label: str = "label", so
     return found, found.groupBy(*keys[:3]).agg(F.avg("roc_auc").alias("roc_auc"), F.avg("ap").alias("ap"))
 
 
-def multiview_scores(entries: dict[str, models.Entry], train: DataFrame, test: DataFrame, views: dict[str, Sequence[int] | None], weights: Sequence[float] | None, row_id: str = "row_id", label: str = "label", folds: int = 5, scale: str | None = "minmax") -> DataFrame:
+def multiview_scores(entries: dict[str, models.Entry], train: DataFrame, test: DataFrame, views: dict[str, Sequence[int] | None], weights: Sequence[float] | None, row_id: str = "row_id", label: str = "label", folds: int = 5, scale: str | None = "minmax", structure_entries: dict[str, models.Entry] | None = None) -> DataFrame:
     """model, feature_regime, dataset, split, row_id, y, s of every model on every view and of the views' weighted mean.
 
     Datasets: cv_holdout and test for each fold, OOF, and TEST_full_train by a model of all training rows (split -1).
-    Features are imputed and scaled by each model's own training rows. The scores are written, so that what reads them fits nothing anew.
+    Features are imputed and scaled by each model's own training rows. structure_entries are models of the graph column, of regime
+    smiles; they take no part in views. The scores are written, so that what reads them fits nothing anew.
     """
     w = dict(zip(views, metrics.normal_weights(len(views), weights), strict=True))
     train, out = written(split.stratified_folds(train, label, row_id, folds)), None
-    for name, entry in entries.items():
-        for v, positions in views.items():
-            fit_rows, ask_rows = models.view(train, positions), models.view(test, positions)
-            parts = []
-            for k in [*range(folds), -1]:
-                model = models.fit(entry, fit_rows.filter(F.col("fold") != k), label, scale)
-                asked = {"test" if k >= 0 else "TEST_full_train": ask_rows} | ({"cv_holdout": fit_rows.filter(F.col("fold") == k)} if k >= 0 else {})
-                for dataset, rows in asked.items():
-                    said = models.score_column(model.transform(rows))
-                    parts.append(said.select(F.lit(name).alias("model"), F.lit(v).alias("view"), F.lit(dataset).alias("dataset"), F.lit(k).alias("split"), F.col(row_id).alias("row_id"), F.col(label).alias("y"), F.col("score").alias("s")))
-            for p in parts:
-                out = p if out is None else out.unionByName(p)
+    fits = [(name, entry, v, positions, scale) for name, entry in entries.items() for v, positions in views.items()]
+    fits += [(name, entry, None, None, None) for name, entry in (structure_entries or {}).items()]
+    for name, entry, v, positions, scaling in fits:
+        fit_rows, ask_rows = models.view(train, positions), models.view(test, positions)
+        for k in [*range(folds), -1]:
+            model = models.fit(entry, fit_rows.filter(F.col("fold") != k), label, scaling)
+            asked = {"test" if k >= 0 else "TEST_full_train": ask_rows} | ({"cv_holdout": fit_rows.filter(F.col("fold") == k)} if k >= 0 else {})
+            for dataset, rows in asked.items():
+                said = models.score_column(model.transform(rows))
+                part = said.select(F.lit(name).alias("model"), F.lit(v).cast("string").alias("view"), F.lit(dataset).alias("dataset"), F.lit(k).alias("split"), F.col(row_id).alias("row_id"), F.col(label).alias("y"), F.col("score").alias("s"))
+                out = part if out is None else out.unionByName(part)
     out = written(out)
     held = out.filter("dataset = 'cv_holdout'")
     out = out.unionByName(held.withColumns({"dataset": F.lit("OOF"), "split": F.lit(-1)}))
     keys = ["model", "dataset", "split", "row_id", "y"]
     together = metrics.view_ensemble(out, w, keys).withColumn("feature_regime", F.lit("ensemble[" + "+".join(views) + "]"))
-    return out.withColumn("feature_regime", F.concat(F.lit("view:"), "view")).drop("view").unionByName(together)
+    return out.withColumn("feature_regime", F.coalesce(F.concat(F.lit("view:"), "view"), F.lit("smiles"))).drop("view").unionByName(together)
 
 
 def evaluate(scores: DataFrame, times: int = 2000, level: float = 0.95) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

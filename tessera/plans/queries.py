@@ -308,6 +308,10 @@ def ordered_boosting(spark, d):
     return _boosted(spark, d, "OrderedBoosting")
 
 
+def perceptron_oof(spark, d):
+    return _oof(spark, d, "MLP")
+
+
 def soft_voting(spark, d):
     """The mean of three members' out-of-fold scores."""
     rows = split.stratified_folds(_features(spark, d), "label", "vec_id")
@@ -350,7 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quota_allocation, quota_test_split, quota_train, stratified_folds, hold_out, tanimoto_max_to_pos, popcounts, source_entropy, knn5_score, hard_negative_select, view_ensemble, min_max_scores,
         confusion_matrix, multiclass_metrics, macro_auc, fold_summary, cross_source_matrix, bootstrap_ci, rank_rows, lineitem_ranking, logreg_oof, domain_classifier_oof,
         positives_report, class_weights, threshold_metrics_raw, sigmoid_scores, view_weights_text, fold_mean_std_rows, kept_columns, elastic_net_oof, gaussian_nb_oof, decision_tree_oof,
-        soft_voting, source_confusion, hard_negatives_stage, cross_source_stage, level_boosting, leaf_boosting, ordered_boosting,
+        perceptron_oof, soft_voting, source_confusion, hard_negatives_stage, cross_source_stage, level_boosting, leaf_boosting, ordered_boosting,
     )
 }
 

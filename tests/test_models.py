@@ -36,6 +36,16 @@ def test_multiview_shapes(spark, rows):
     assert ci.count() == 2 * 3 and early.count() == 2 * 2 * 3 + 2 * 3
 
 
+def test_structure_models_have_a_regime_of_their_own(spark, rows):
+    atoms = F.when(F.col("label") == 1, F.array(F.lit(8), F.lit(6))).otherwise(F.array(F.lit(6), F.lit(6)))
+    df = rows.withColumn("graph", F.struct(atoms.alias("atoms"), F.array(F.lit(0), F.lit(1)).alias("heads"), F.array(F.lit(1), F.lit(0)).alias("tails")))
+    entries, structure = {"nb": models.registry()["GaussianNB"]}, {"net": models.structure_registry(4)["GraphNetwork"]}
+    scores = pipelines.multiview_scores(entries, df.filter("row_id < 60"), df.filter("row_id >= 60"), {"a": [0, 1]}, None, folds=2, structure_entries=structure)
+    found = {(r["model"], r["feature_regime"], r["dataset"]): r["count"] for r in scores.groupBy("model", "feature_regime", "dataset").count().collect()}
+    sizes = {"cv_holdout": 60, "test": 60, "OOF": 60, "TEST_full_train": 30}
+    assert found == {(m, f, d): n for m, f in (("nb", "view:a"), ("nb", "ensemble[a]"), ("net", "smiles")) for d, n in sizes.items()}
+
+
 def test_stacking_and_voting(spark, rows):
     train, test = rows.filter("row_id < 60"), rows.filter("row_id >= 60")
     entry = models.Entry(lambda d, n: models.C.NaiveBayes(modelType="gaussian"))
