@@ -9,9 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.running import ranked, running_sums
+from tessera.sources.shared import written
 
 #: Source-bias alarm.
 ALARM_ACCURACY, ALARM_AUC = 0.70, 0.80
@@ -164,14 +167,88 @@ def bootstrap(scores: DataFrame, groups: Sequence[str] = (), row_id: str = "id",
     table = counts.groupBy(*groups, "b", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("c")).otherwise(0)).alias("p"), F.sum("c").alias("k")).withColumn("n", F.col("k") - F.col("p"))
     up = running_sums(table, [*groups, "b"], "s", {"nb": "n"}).groupBy(*groups, "b").agg(ratio(F.sum(F.col("p") * (F.col("nb") - F.col("n") / F.lit(2).cast("double"))), F.sum("p") * F.sum("n")).alias("auc"))
     down = running_sums(table, [*groups, "b"], "s", {"tp": "p", "seen": "k"}, descending=True).groupBy(*groups, "b").agg(ratio(F.sum(F.col("p") * ratio("tp", "seen")), F.sum("p")).alias("pr"))
+    return _with_bounds(rows, groups, up.join(down, [*groups, "b"]), level)
+
+
+def _with_bounds(rows: DataFrame, groups: Sequence[str], resampled: DataFrame, level: float) -> DataFrame:
+    """Both areas of rows (y, s), and the bounds of resampled's auc and pr."""
     tail = (1 - level) / 2
     ends = F.array(F.lit(tail), F.lit(1 - tail))
-    spread = up.join(down, [*groups, "b"]).groupBy(*groups).agg(F.avg("auc").alias("auc_boot_mean"), F.percentile("auc", ends).alias("a"), F.percentile("pr", ends).alias("p"))
+    spread = resampled.groupBy(*groups).agg(F.avg("auc").alias("auc_boot_mean"), F.percentile("auc", ends).alias("a"), F.percentile("pr", ends).alias("p"))
     point = roc_auc(rows, groups).join(average_precision(rows, groups), list(groups)) if groups else roc_auc(rows).join(F.broadcast(average_precision(rows)))
     both = point.join(spread, list(groups)) if groups else point.join(F.broadcast(spread))
     return both.select(*groups, "roc_auc", F.col("a")[0].alias("roc_auc_lo"), F.col("a")[1].alias("roc_auc_hi"), "ap", F.col("p")[0].alias("ap_lo"), F.col("p")[1].alias("ap_hi"), "auc_boot_mean")
 
 
+#: Least distinct scores of a block, most blocks of a group, and numbers that a task draws at once.
+BLOCK_SCORES, MOST_BLOCKS, DRAWN = 20_000, 1024, 4_000_000
+
+
+def drawn_before(sizes: np.ndarray, block: int, times: int, keys: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows drawn from earlier blocks, rows drawn from this block) for each resample of as many rows as there are.
+
+    A multinomial draw, split down a tree of halves: each node's generator is keyed, so all blocks see the same draws.
+    """
+    lo, hi = 0, len(sizes)
+    before, here = np.zeros(times, np.int64), np.full(times, sizes.sum(), np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left, whole = sizes[lo:mid].sum(), sizes[lo:hi].sum()
+        went = np.random.default_rng([*keys, lo, hi]).binomial(here, left / whole if whole else 0.0)
+        if block < mid:
+            here, hi = went, mid
+        else:
+            before, here, lo = before + went, here - went, mid
+    return before, here
+
+
+def bootstrap_blocks(scores: DataFrame, groups: Sequence[str] = (), y: str = "y", s: str = "s", times: int = 2000, level: float = 0.95, seed: int = 42, block_scores: int = BLOCK_SCORES) -> DataFrame:
+    """The same columns as bootstrap(), from resamples of the same law that are drawn as counts.
+
+    Rows are counted once for each distinct score; these are dealt in order into blocks (MOST_BLOCKS a group, at most). How many rows
+    of a class a resample takes from each block follows from the blocks' sizes alone, so a task draws its block's counts for all
+    resamples and adds up its share of both areas. What is shuffled is the rows' counts, and a row for each block and resample.
+    """
+    rows = scores.filter(F.col(s).isNotNull() & ~F.isnan(s)).select(*groups, F.col(y).cast("int").alias("y"), F.col(s).cast("double").alias("s"))
+    counted = _by_score(rows, groups, "y", "s").withColumn("_one", F.lit(1).cast("bigint"))
+    placed = running_sums(counted, groups, "s", {"_place": "_one"})
+    sizes = placed.groupBy(*(F.col(g).alias(f"_in_{i}") for i, g in enumerate(groups))).agg(F.count(F.lit(1)).alias("_scores"))
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_in_{i}"))
+    length = F.greatest(F.lit(block_scores), F.ceil(F.col("_scores") / MOST_BLOCKS))
+    dealt = written(placed.join(F.broadcast(sizes), same).withColumn("_block", F.floor((F.col("_place") - 1) / length).cast("int")).select(*groups, "_block", "s", "p", "k"))
+    blocks = dealt.groupBy(*groups, "_block").agg(F.sum("p").alias("p"), F.sum("k").alias("k"))
+    shape = blocks.groupBy(*(F.col(g).alias(f"_in_{i}") for i, g in enumerate(groups))).agg(F.array_sort(F.collect_list(F.struct("_block", "p", "k"))).alias("_all"))
+    shape = shape.select(*(f"_in_{i}" for i in range(len(groups))), F.col("_all.p").alias("_ps"), F.col("_all.k").alias("_ks"))
+    # A block's first row alone carries the sizes of all blocks.
+    heads = blocks.join(shape, same).select(*groups, "_block", "_ps", "_ks", F.lit(None).cast("double").alias("s"), F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("k"))
+    none = F.lit(None).cast("array<bigint>")
+    given = dealt.select(*groups, "_block", none.alias("_ps"), none.alias("_ks"), "s", "p", "k").unionByName(heads)
+
+    def resample(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        head, part = part[part["_ps"].notna()].iloc[0], part[part["_ps"].isna()].sort_values("s")
+        block, ps = int(key[-1]), np.asarray(head["_ps"], np.int64)
+        ns = np.asarray(head["_ks"], np.int64) - ps
+        p, n = part["p"].to_numpy(np.int64), part["k"].to_numpy(np.int64) - part["p"].to_numpy(np.int64)
+        (p_before, p_here), (n_before, n_here) = (drawn_before(c, block, times, (seed, i)) for i, c in enumerate((ps, ns)))
+        make = [np.random.default_rng([seed, 2 + i, block]) for i in range(2)]
+        step, won, precise = max(1, DRAWN // len(part)), [], []
+        for at in range(0, times, step):
+            own = slice(at, at + step)
+            cp, cn = (g.multinomial(h[own], c / c.sum()) if c.sum() else np.zeros((len(h[own]), len(c)), np.int64) for g, h, c in zip(make, (p_here, n_here), (p, n)))
+            below_n, below_p = n_before[own, None] + np.cumsum(cn, axis=1) - cn, p_before[own, None] + np.cumsum(cp, axis=1) - cp
+            won.append((cp * (below_n + cn / 2)).sum(axis=1))
+            tp = ps.sum() - below_p
+            precise.append((cp * (tp / np.maximum(tp + ns.sum() - below_n, 1))).sum(axis=1))
+        return pd.DataFrame({**{g: [v] * times for g, v in zip(groups, key)}, "b": range(times), "won": np.concatenate(won), "precise": np.concatenate(precise), "pairs": float(ps.sum() * ns.sum()), "p": float(ps.sum())})
+
+    fields = "".join(f"`{g}` {dealt.schema[g].dataType.simpleString()}, " for g in groups)
+    shares = given.groupBy(*groups, "_block").applyInPandas(resample, fields + "b int, won double, precise double, pairs double, p double")
+    resampled = shares.groupBy(*groups, "b").agg(ratio(F.sum("won"), F.first("pairs")).alias("auc"), ratio(F.sum("precise"), F.first("p")).alias("pr"))
+    return _with_bounds(rows, groups, resampled, level)
+
+
 def normal_weights(n: int, weights: Sequence[float] | None = None) -> list[float]:
     """Weights of n views: negative ones are 0, they sum to 1, and are equal if none is left or none is given."""
     if weights is not None and len(weights) != n:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.sources.shared import written
 
 #: Rows for which another task is worth the exchange of gradients, and the most tasks.
-ROWS_A_TASK, MOST_TASKS = 20_000, 32
+ROWS_A_TASK, MOST_TASKS = 2_000, 32
 #: Adam's usual constants.
 FIRST, SECOND, TINY = 0.9, 0.999, 1e-8
 
@@ -145,9 +145,8 @@ class Graphs:
         return out
 
     def kept(self, g: dict, layer: int) -> np.ndarray:
-        units = mixed(np.arange(self.hidden, dtype=np.uint64) + np.uint64(self.hidden * (layer + 1)))
-        share = (mixed(g["keys"][:, None] ^ units[None, :]) >> np.uint64(11)).astype(np.float64) / 2.0**53
-        return (share >= self.dropout) / (1 - self.dropout)
+        units = mixed(np.arange(self.hidden, dtype=np.uint64) + np.uint64(self.hidden * (layer + 1))) | np.uint64(1)
+        return (g["keys"][:, None] * units[None, :] >= np.uint64(self.dropout * 2.0**64)) / (1 - self.dropout)
 
     def forward(self, params: list[np.ndarray], g: dict, learn: bool = False) -> tuple[np.ndarray, tuple]:
         x = np.zeros((len(g["atoms"]), self.kinds))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.bits import common, ones
+from tessera.sources.shared import written
 
 BLOCK_ROWS = 512
 
@@ -23,18 +24,38 @@ def in_blocks(df: DataFrame, row_id: str, values: list[Column], rows: int = BLOC
 def max_tanimoto(queries: DataFrame, reference: DataFrame, row_id: str, words: str, out: str = "max_tanimoto") -> DataFrame:
     """Adds the largest Tanimoto similarity of each query to a row of reference; 0 if there is none.
 
-    Every query meets every block of the reference set (an equal join on the block's number), and takes the maximum inside
-    the block before anything is shuffled. Blocks are broadcast by Spark's own size threshold, and joined by shuffle beyond.
+    The reference is kept in blocks of rows with equally many bits. Similarity is at most the smaller number of bits by the larger, so a
+    query meets the blocks of the most promising number first, and then only those that could still hold a larger value; most fall away,
+    and the result is exact. Blocks are broadcast by Spark's own size threshold, and joined by shuffle beyond.
     """
-    items, blocks = in_blocks(reference.filter(F.col(words).isNotNull()), row_id, [F.col(words).alias("w"), ones(F.col(words)).alias("n")])
-    asked = queries.filter(F.col(words).isNotNull()).select(row_id, words, ones(F.col(words)).alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-
-    def similarity(item: Column) -> Column:
-        both = common(F.col(words), item["w"])
-        return both.cast("double") / F.greatest(F.col("_n") + item["n"] - both, F.lit(1)).cast("double")
-
-    best = asked.join(items, "_block").select(row_id, F.array_max(F.transform("_items", similarity)).alias(out))
-    best = best.groupBy(row_id).agg(F.max(out).alias(out))
+    held = reference.filter(F.col(words).isNotNull()).select(row_id, F.col(words).alias("w"), ones(F.col(words)).alias("n"))
+    sizes = sorted(held.groupBy("n").count().collect())  # at most a row for each number of bits
+    if not sizes:
+        return queries.withColumn(out, F.lit(0.0))
+    numbers, blocks = F.lit([r[0] for r in sizes]), F.lit([-(-r[1] // BLOCK_ROWS) for r in sizes])
+    at = F.array_position(numbers, F.col("n")).cast("int")
+    items = held.withColumn("_block", F.pmod(F.xxhash64(row_id), F.element_at(blocks, at)).cast("int")).groupBy(F.col("n").alias("_of"), "_block").agg(F.collect_list("w").alias("_items"))
+    bound = lambda c: F.least(F.col("_n"), c).cast("double") / F.greatest(F.col("_n"), c, F.lit(1)).cast("double")
+    asked = queries.filter(F.col(words).isNotNull()).select(row_id, words, ones(F.col(words)).alias("_n"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        """row_id and the largest similarity to the blocks of the numbers in _worth."""
+        rows = rows.withColumn("_of", F.explode("_worth"))
+        rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.array_position(numbers, F.col("_of")).cast("int")) - 1)))
+
+        def similarity(w: Column) -> Column:
+            both = common(F.col(words), w)
+            return both.cast("double") / F.greatest(F.col("_n") + F.col("_of") - both, F.lit(1)).cast("double")
+
+        best = rows.join(items, ["_of", "_block"]).select(row_id, F.array_max(F.transform("_items", similarity)).alias(out))
+        return best.groupBy(row_id).agg(F.max(out).alias(out))
+
+    nearest = F.array_max(F.transform(numbers, lambda c: F.struct(bound(c).alias("s"), c.alias("c"))))["c"]
+    asked = asked.withColumn("_first", nearest)
+    first = written(met(asked.withColumn("_worth", F.array("_first"))))
+    rest = asked.join(first.withColumnRenamed(out, "_least"), row_id)
+    rest = rest.withColumn("_worth", F.filter(numbers, lambda c: (c != F.col("_first")) & (bound(c) > F.col("_least"))))
+    best = first.unionByName(met(rest.drop("_least"))).groupBy(row_id).agg(F.max(out).alias(out))
     return queries.join(best, row_id, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 

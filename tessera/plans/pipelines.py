@@ -125,7 +125,7 @@ def evaluate(scores: DataFrame, times: int = 2000, level: float = 0.95) -> tuple
     values = [c for c in by_fold.columns if c not in SCORE_KEYS]
     summary = metrics.fold_summary(by_fold, SCORE_KEYS[:3], values)
     whole = scores.filter(F.col("dataset").isin("OOF", "TEST_full_train"))
-    ci = metrics.bootstrap(whole, SCORE_KEYS[:3], "row_id", times=times, level=level)
+    ci = metrics.bootstrap_blocks(whole, SCORE_KEYS[:3], times=times, level=level)
     return by_fold, summary, ci, metrics.early_enrichment(scores, SCORE_KEYS, "row_id")
 
 

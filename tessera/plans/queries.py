@@ -247,6 +247,11 @@ def cross_source_matrix(spark, d):
     return metrics.roc_auc(out, ["train_source", "test_source"])
 
 
+def bootstrap_blocks_ci(spark, d):
+    """Bounds by language, from counts drawn in blocks of scores."""
+    return metrics.bootstrap_blocks(scores(spark, d), ["lang"], times=2000)
+
+
 def bootstrap_ci(spark, d):
     return metrics.bootstrap(scores(spark, d), times=2000)
 
@@ -352,7 +357,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         ef_bedroc_by_source, roc_auc, average_precision, threshold_metrics, binary_metrics, early_enrichment, best_row_dedup, dup_value_counts, prepare_positives, overlap_control, numeric_coerce,
         quota_allocation, quota_test_split, quota_train, stratified_folds, hold_out, tanimoto_max_to_pos, popcounts, source_entropy, knn5_score, hard_negative_select, view_ensemble, min_max_scores,
-        confusion_matrix, multiclass_metrics, macro_auc, fold_summary, cross_source_matrix, bootstrap_ci, rank_rows, lineitem_ranking, logreg_oof, domain_classifier_oof,
+        confusion_matrix, multiclass_metrics, macro_auc, fold_summary, cross_source_matrix, bootstrap_ci, bootstrap_blocks_ci, rank_rows, lineitem_ranking, logreg_oof, domain_classifier_oof,
         positives_report, class_weights, threshold_metrics_raw, sigmoid_scores, view_weights_text, fold_mean_std_rows, kept_columns, elastic_net_oof, gaussian_nb_oof, decision_tree_oof,
         perceptron_oof, soft_voting, source_confusion, hard_negatives_stage, cross_source_stage, level_boosting, leaf_boosting, ordered_boosting,
     )

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import hardness, ingest, metrics, similarity
 
@@ -62,6 +63,47 @@ def test_bootstrap_bounds_hold_the_value(spark, rows):
     assert got["roc_auc_lo"] <= got["roc_auc"] <= got["roc_auc_hi"] and got["ap_lo"] < got["ap_hi"]
 
 
+@pytest.mark.parametrize("block", [7, 20_000])
+def test_bootstrap_by_counts_has_the_law_of_drawn_rows(spark, rows, block):
+    import numpy as np
+
+    got = metrics.bootstrap_blocks(spark.createDataFrame(rows, "id int, y int, s double"), times=1500, block_scores=block).first()
+    rng, classes = np.random.default_rng(0), [np.array([r[2] for r in rows if r[1] == k]) for k in (0, 1)]
+    areas = []
+    for _ in range(1500):
+        neg, pos = (rng.choice(c, len(c)) for c in classes)
+        areas.append(((pos[:, None] > neg).mean() + (pos[:, None] >= neg).mean()) / 2)
+    want = np.quantile(areas, [0.025, 0.975])
+    assert [got["roc_auc_lo"], got["roc_auc_hi"], got["auc_boot_mean"]] == pytest.approx([*want, np.mean(areas)], abs=0.02)
+    drawn = metrics.bootstrap(spark.createDataFrame(rows, "id int, y int, s double"), times=400).first()
+    assert (got["roc_auc"], got["ap"]) == pytest.approx((drawn["roc_auc"], drawn["ap"]))
+    assert [got["ap_lo"], got["ap_hi"]] == pytest.approx([drawn["ap_lo"], drawn["ap_hi"]], abs=0.06)
+
+
+def test_bootstrap_by_counts_of_plain_groups(spark):
+    data = [("apart", k % 2, float(k % 2 * 100 + k)) for k in range(40)] + [(None, k % 4 // 3, 1.0) for k in range(40)] + [("one", 1, float(k)) for k in range(5)]
+    found = {r["g"]: r for r in metrics.bootstrap_blocks(spark.createDataFrame(data, "g string, y int, s double").withColumn("g", F.coalesce("g", F.lit("tied"))), ["g"], times=50, block_scores=3).collect()}
+    assert (found["apart"]["roc_auc_lo"], found["apart"]["ap_hi"]) == (1.0, 1.0)
+    assert (found["tied"]["roc_auc_lo"], found["tied"]["roc_auc_hi"], found["tied"]["ap_lo"]) == (0.5, 0.5, 0.25)
+    assert found["one"]["roc_auc_lo"] is None and found["one"]["ap_lo"] == 1.0
+
+
+def test_largest_similarity_equals_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    words = [(i, None if i == 3 else [r.getrandbits(20) & r.getrandbits(20) if i % 7 else 0, r.getrandbits(r.choice([3, 30]))]) for i in range(150)]
+    ask, ref = words, [w for w in words if w[0] % 3 == 0]
+    df = spark.createDataFrame(words, "id int, w array<bigint>")
+    got = {x["id"]: x["max_tanimoto"] for x in similarity.max_tanimoto(df, df.filter("id % 3 = 0"), "id", "w").collect()}
+
+    def like(a, b):
+        both = sum((x & y).bit_count() for x, y in zip(a, b))
+        return both / max(1, sum(x.bit_count() for x in (*a, *b)) - both)
+
+    assert got == {i: 0.0 if a is None else max(like(a, b) for _, b in ref if b is not None) for i, a in ask}
+
+
 def test_weights():
     assert metrics.normal_weights(2, [3, 1]) == [0.75, 0.25]
     assert metrics.normal_weights(2, [-1, 0]) == [0.5, 0.5]
