@@ -125,3 +125,11 @@ def test_similarity_to_nothing_is_zero(spark):
     df = spark.createDataFrame([(1, [7])], "id int, w array<bigint>")
     assert similarity.max_tanimoto(df, df.limit(0), "id", "w").first()["max_tanimoto"] == 0.0
     assert similarity.max_tanimoto(df, df, "id", "w").first()["max_tanimoto"] == 1.0
+
+
+def test_weights_text_rounds_as_sql(spark):
+    """Halves: 0.03125 is exact (to even), 0.12345 and 0.00135 are not."""
+    r = random.Random(11)
+    values = [k / 32 for k in range(33)] + [0.12345, 0.00135, 5e-5, 0.0, 1e-300] + [(2 * r.randrange(10_000) + 1) / 20_000 for _ in range(500)] + [r.random() for _ in range(500)]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", metrics.weights_text([F.col("x"), 0.03125])).collect()
+    assert [g[1] for g in got] == [f"{g[0]:.4f},0.0312" for g in got]
