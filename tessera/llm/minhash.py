@@ -7,7 +7,8 @@
    are skipped.
 3. Lists elect leaders (``link.elections``): collisions of all coordinates are counted for pairs of a leader and a row
    of its lists. Rows with ``NEAR`` or more leave the lists; pairs with ``MET`` or more are retained. Both are low: texts
-   that have no more than a passage in common are few in a list, and step 5 does the rest.
+   that have no more than a passage in common are few in a list, and step 5 does the rest. What lists hold after their elections
+   meets in all pairs, and those with ``NEAR`` or more are retained too (a pair at the threshold has 102 in the mean).
 4. Retained pairs meet as texts, at the leader, in parts if it has many. Their full sets decide whether they are linked,
    and give the difference of the row's set from the leader's (what either has alone).
 5. Two rows of one leader, at least one not linked with it (a stray): they can be similar only if their differences have
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.blocks import U, mix, shingle_sets, slices
 from tessera.llm.common import Scratch, map_arrow, with_texts
-from tessera.llm.link import components, elections
+from tessera.llm.link import all_pairs, components, elections
 
 COORDINATES = 128
 ROWS = 4
@@ -150,11 +151,13 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = PERCENT) ->
         counted = pairs.join(side("id"), "id").join(side("lead"), "lead").select("lead", "id", agree.alias("agree"))
         return counted.filter(F.col("agree") >= MET).select("lead", "id", (F.col("agree") >= NEAR).alias("near"))
 
-    judged = elections(postings, judge, scratch)
+    judged, left = elections(postings, judge, scratch)
     if not judged:
         return _named(signed, classes, None, scratch)
-    retained = judged[0].select("lead", "id")
-    for more in judged[1:]:
+    agree = lambda x, y: F.aggregate(F.zip_with(f"{x}signature", f"{y}signature", lambda s, t: (s == t).cast("int")), F.lit(0), lambda n, c: n + c) >= NEAR
+    sizes = lambda x, y: size_fits(F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles"))
+    retained = all_pairs(left, known.select("id", "signature", "n_shingles"), lambda x, y: F.when(sizes(x, y), agree(x, y)).otherwise(False)).select(F.col("a").alias("lead"), F.col("b").alias("id"))
+    for more in judged:
         retained = retained.unionAll(more.select("lead", "id"))
     retained = scratch.keep(retained.distinct())
     held = retained.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
