@@ -185,3 +185,34 @@ def test_empty_table_and_other_columns(spark):
     made = S.add_fingerprints(rows, "smiles")
     assert made.columns == ["smiles", "graph", "atoms", "circular", "keys", "fp_valid"] and made.distinct().count() == 1
     assert made.select(ones(F.col("circular"))).first()[0] == 2
+
+
+def test_each_text_is_parsed_once(spark):
+    """Many rows of few texts, a null among them: every row has its molecule, and the parser sees each text once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        count = F.udf(lambda t: seen.add(1) or len(t or ""), "int")
+        return texts.withColumn("size", count("_text"))
+
+    rows = spark.createDataFrame([(i, ["CCO", "c1ccccc1", None, "C("][i % 4]) for i in range(200)], "id int, smiles string")
+    got = S.by_text(rows, "smiles", counted).collect()
+    assert len(got) == 200 and all(g["size"] == len(g["smiles"] or "") for g in got) and seen.value == 4
+    made = S.parsed(rows, "smiles").collect()
+    assert all(g["molecule"]["valid"] == (g["id"] % 4 < 2) for g in made) and len(made) == 200
+
+
+def test_similarity_asks_equal_fingerprints_once(spark, monkeypatch):
+    """Copies on both sides: the most common bits of two different fingerprints are counted once."""
+    asked = spark.sparkContext.accumulator(0)
+    plain = similarity.most_common
+
+    def counted(batches):
+        for out in plain(batches):
+            asked.add(out.num_rows)
+            yield out
+
+    monkeypatch.setattr(similarity, "most_common", counted)
+    rows = spark.createDataFrame([(i, [[7, 0], [3, -1], None][i % 3]) for i in range(90)], "id int, w array<bigint>")
+    got = {r["id"]: r["s"] for r in similarity.max_tanimoto(rows, rows.filter("id < 60 AND w[1] = 0"), "id", "w", "s").collect()}
+    assert got == {i: (1.0, 2 / 67, 0.0)[i % 3] for i in range(90)} and asked.value == 2
