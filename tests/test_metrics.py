@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,16 @@ def test_weights_text_rounds_as_sql(spark):
     values = [k / 32 for k in range(33)] + [0.12345, 0.00135, 5e-5, 0.0, 1e-300] + [(2 * r.randrange(10_000) + 1) / 20_000 for _ in range(500)] + [r.random() for _ in range(500)]
     got = spark.createDataFrame([(x,) for x in values], "x double").select("x", metrics.weights_text([F.col("x"), 0.03125])).collect()
     assert [g[1] for g in got] == [f"{g[0]:.4f},0.0312" for g in got]
+
+
+def test_nearest_rows_by_products():
+    """Far from the origin, where products lose digits: the same rows and distances as by differences, and ties by id."""
+    rng = np.random.default_rng(4)
+    q, r = rng.integers(0, 3, (50, 6)) * 1e-3 + 1e4, rng.integers(0, 3, (300, 6)) * 1e-3 + 1e4
+    own, ids = np.arange(50), rng.permutation(300)
+    got = list(zip(*similarity.nearest_rows(q, own, r, ids, 5)))
+    want = []
+    for i in range(50):
+        gaps = ((q[i] - r) ** 2).sum(axis=1)
+        want += [(i, j, gaps[j]) for j in sorted((j for j in range(300) if ids[j] != own[i]), key=lambda j: (gaps[j], ids[j]))[:5]]
+    assert got == want
