@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 
-from tessera.operators import models
+from tessera.operators import models, randomtrees
 from tessera.operators.randomtrees import ExtraTrees
 
 
@@ -114,3 +114,18 @@ def test_registry_uses_them(spark):
     for name in ("ExtraTrees", "SourceTrees"):
         model = models.fit(models.registry(3)[name], df)
         assert type(model).__name__ == "RandomisedTrees" and models.score_column(model.transform(df)).filter("score between 0 and 1").count() == 60
+
+
+def test_driver_holds_tops_alone(spark, monkeypatch):
+    """What is below nodes of few rows is a table, which rows meet when they are asked; leaves are as pure, whatever the tasks."""
+    x, y = data(900, 5)
+    y[::3] = np.random.default_rng(1).integers(0, 2, 300)
+    x[1:] += np.random.default_rng(2).normal(size=(899, 9)) / 1000  # no two rows are equal
+    monkeypatch.setattr(randomtrees, "LOCAL_ROWS", 100)
+    monkeypatch.setattr(randomtrees, "ASKED_ROWS", 40)
+    one, four = (ExtraTrees(6, seed=3).fit(frame(spark, x, y, parts=p)) for p in (1, 4))
+    assert 6 < sum(len(t.left) for t in one.trees) < 6 * 100 < 6 * 300 < sum(len(r["left"]) // 4 for r in one.below.collect())
+    both = [shares(m, frame(spark, x, y)) for m in (one, four)]
+    assert np.array_equal(*both) and (both[0][np.arange(900), y] == 1).all()
+    x, y = data(900, 5)
+    assert (shares(ExtraTrees(25).fit(frame(spark, x[:600], y[:600])), frame(spark, x[600:], y[600:])).argmax(1) == y[600:]).mean() > 0.85
