@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import bits, columns
+from tessera.functions import bits, columns, running
 from tessera.functions.running import ranked, running_sums
 
 
@@ -79,3 +79,14 @@ def test_no_range_holds_much_more_than_its_share(spark, score):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [g[0] for g in got] == list(range(1, 20001)) and [g[1] for g in got] == [i for _, i in sorted((-s, i) for _, i, s in got)]
+
+
+def test_running_sums_deal_more_tasks_to_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(running, "RANGE_ROWS", 50)
+    df = spark.range(2000).select("id", (F.col("id") % 3 > 0).alias("g"), (F.col("id") % 7).alias("s"), F.lit(1).alias("one"))
+    got = running.ranked(df, ["g"], "s", "id").withColumn("task", F.spark_partition_id()).collect()
+    for g in (False, True):
+        rows = sorted((r for r in got if r["g"] == g), key=lambda r: (-r["s"], r["id"]))
+        assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+    tasks = [r["task"] for r in got]
+    assert len(got) == 2000 and max(map(tasks.count, set(tasks))) < 400  # four tasks would have 500 each
