@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import running
 from tessera.operators import hardness, ingest, metrics, similarity
+from tessera.sources.shared import written
 
 
 def brute(rows):
@@ -147,3 +149,17 @@ def test_nearest_rows_by_products():
         gaps = ((q[i] - r) ** 2).sum(axis=1)
         want += [(i, j, gaps[j]) for j in sorted((j for j in range(300) if ids[j] != own[i]), key=lambda j: (gaps[j], ids[j]))[:5]]
     assert got == want
+
+
+def test_bootstrap_makes_its_draws_once(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return written(df)
+
+    monkeypatch.setattr(metrics, "written", noted)
+    monkeypatch.setattr(running, "written", noted)
+    df = spark.range(60).select("id", (F.col("id") % 2).alias("y"), (F.col("id") % 7 / 7.0).alias("s"))
+    assert metrics.bootstrap(df, times=20).count() == 1
+    assert sum("explode(sequence(" in p for p in plans) == 1
