@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tessera.operators import models, structures
+from tessera.operators import models, networks, structures
 from tessera.operators.networks import Dense, GraphNetwork, Graphs, Perceptron, slopes
 
 GRAPHS = pa.table({
@@ -74,3 +74,25 @@ def test_graph_network_learns_a_motif_and_forgets_the_order(spark):
     assert got == pytest.approx([got[0]] * 3)
     odd = models.score_column(net.transform(drawn(spark, ["C(", None, ""]).withColumn("graph", F.when(F.col("id") > 0, F.col("graph"))))).collect()
     assert len({round(r["score"], 12) for r in odd}) == 1
+
+
+def test_more_rows_have_more_learners(spark, monkeypatch):
+    """Beyond LEARNER_ROWS the steps that follow one another don't grow with the rows, and the tasks' number changes nothing."""
+    monkeypatch.setattr(networks, "LEARNER_ROWS", 300)
+    monkeypatch.setattr(networks, "ROUND", 4)
+    df = rows(spark, 1500).cache()
+    one, three = (Perceptron((40,), epochs=60, batch=50, rate=0.01, tasks=t).fit(df) for t in (1, 3))
+    assert np.allclose(one.losses, three.losses, atol=1e-6) and one.losses[-1] < 0.25 < one.losses[0]
+    assert models.score_column(three.transform(df)).filter("(score > 0.5) = (label = 1)").count() > 1350
+
+
+def test_equal_graphs_are_learned_once(spark, monkeypatch):
+    """Copies weigh; they don't add rows to a training set."""
+    seen = []
+    real = networks.trained
+    monkeypatch.setattr(networks, "trained", lambda rows, *a, **k: seen.append(rows.agg(F.count(F.lit(1)), F.sum("_n"), F.sum("_w")).first()) or real(rows, *a, **k))
+    df = drawn(spark, ["CCO", "CCN", "CCO", "c1ccccc1"] * 50).withColumn("label", F.col("smiles").contains("O").cast("int"))
+    net = GraphNetwork(hidden=8, epochs=2, batch=16).fit(df.withColumn("weight", F.lit(2.0)))
+    assert [tuple(x) for x in seen] == [(3, 200.0, 400.0)]
+    got = {(r["smiles"], round(r["score"], 9)) for r in models.score_column(net.transform(df)).collect()}
+    assert len(got) == 3
