@@ -129,3 +129,17 @@ def test_driver_holds_tops_alone(spark, monkeypatch):
     assert np.array_equal(*both) and (both[0][np.arange(900), y] == 1).all()
     x, y = data(900, 5)
     assert (shares(ExtraTrees(25).fit(frame(spark, x[:600], y[:600])), frame(spark, x[600:], y[600:])).argmax(1) == y[600:]).mean() > 0.85
+
+
+def test_whole_trees_are_grown_in_groups(spark, monkeypatch):
+    """Where each tree has all rows in one task, rows are dealt out once a group and not once a tree; trees and shares stay the same."""
+    x, y = data(120)
+    met, routed = [], randomtrees.routed
+    monkeypatch.setattr(randomtrees, "routed", lambda *a: met.append(1) or routed(*a))
+    by_group = []
+    for groups in (2, 7):
+        monkeypatch.setattr(randomtrees, "GROUPS", groups)
+        monkeypatch.setattr(randomtrees, "ASKED_ROWS", 50 * groups)
+        by_group.append(shares(ExtraTrees(7).fit(frame(spark, x, y)), frame(spark, x, y)))
+    assert not met and np.array_equal(*by_group)
+    assert np.allclose(by_group[0], plain(x, y, np.ones(len(x)), ExtraTrees(7), x), atol=1e-6)

@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tessera.operators import ingest, models
-from tessera.plans import pipelines
+from tessera.plans import pipelines, queries
 
 SHEET = "row_id int, Entry string, Prodrugid string, Prodrug string, SMILES string, PubChem string, `CAS No.` string, inchi string, inchi_k string, other string"
 
@@ -55,3 +55,17 @@ def test_registry_entries_fit_and_score(rows, name):
     entry = models.registry(2)[name]
     scored = models.score_column(models.fit(entry, rows).transform(rows))
     assert scored.filter("score >= 0 AND score <= 1").count() == 120
+
+
+@pytest.mark.parametrize("name", ["domain_classifier_oof"])
+def test_stages_fit_forests_of_all_trees(spark, monkeypatch, name):
+    """Before, 20 trees of the 600 that the stages have."""
+    asked, entries = [], models.registry
+
+    def few(trees):  # what was asked for is noted, and two trees show that the query ends
+        asked.append(models_of(trees))
+        return entries(2)
+
+    models_of = lambda t: entries(t)["SourceTrees"].make(64, 100).trees
+    monkeypatch.setattr(models, "registry", few)
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 and asked == [600]
