@@ -57,7 +57,7 @@ def test_registry_entries_fit_and_score(rows, name):
     assert scored.filter("score >= 0 AND score <= 1").count() == 120
 
 
-@pytest.mark.parametrize("name", ["domain_classifier_oof"])
+@pytest.mark.parametrize("name", ["cross_source_stage", "domain_classifier_oof"])
 def test_stages_fit_forests_of_all_trees(spark, monkeypatch, name):
     """Before, 20 trees of the 600 that the stages have."""
     asked, entries = [], models.registry
